@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .fertility import op3_quality_fertility
+from .pieces import op6_sentencepiece_round_trip
+from .projections import OP10_SQL, op10_embedding_near_dedup
 from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
+    "op3_quality_fertility": op3_quality_fertility,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_sentencepiece_round_trip": op6_sentencepiece_round_trip,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_embedding_near_dedup": OP10_SQL,
+}
