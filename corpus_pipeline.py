@@ -1,10 +1,74 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each over all that the stage before it kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchmine.llm.common import Workspace, bounded_broadcast, table
+from parchmine.llm.fertility import judged, measured
+from parchmine.llm.lines import dedup_lines
+from parchmine.llm.mixing import mix
+from parchmine.llm.pieces import encode_digests
+from parchmine.llm.simhash import fingerprints, simhash_components
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    rows = judged(Workspace(spark, "quality").write(measured(docs)))
+    return rows.where("quality_kept").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat others."""
+    return dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id go if a document with
+    one has their fingerprint; of the others, one stays for each fingerprint.
+    """
+    work = Workspace(spark, "near")
+    found = work.write(simhash_components(docs))
+    gone = work.write(found.where("doc_id != component_id").select("doc_id").distinct())
+    again = work.write(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone, again = (bounded_broadcast(x, x.count(), 1_000_000) for x in (gone, again))
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if found.where("doc_id is null").limit(1).count():
+        known = found.where("doc_id is not null").select(F.col("fp").alias("_parchmine_fp"))
+        nameless = docs.where("doc_id is null").withColumn("_parchmine_fp", fingerprints("text"))
+        once = once.select(docs.columns).union(nameless.join(known, "_parchmine_fp", "left_anti").dropDuplicates(["_parchmine_fp"]).select(docs.columns))
+    return once.select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks for, at least once."""
+    return mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each mixed row."""
+    return encode_digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources", mixing),
+    ("SentencePiece encoding", encoding),
+]
+
+#: Tokenisers, MinHash and SimHash are beyond SQL; tests hold the pipeline against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents; each result is written and read again."""
+    work, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = work.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

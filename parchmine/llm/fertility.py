@@ -8,10 +8,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import Workspace, bounded_broadcast, table
 from .pieces import PieceCodec, codec, default_model
 
 SPACES = " \t\n\v\f\r"
@@ -31,14 +32,8 @@ SCRIPTS = {
     "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
 
-#: Bands (lowest and highest characters per token, highest share of byte-fallback tokens, lowest token entropy in
-#: bits) for the multilingual vocabulary of 32,000 pieces. A language has its own band, or else its text's script.
-LANGUAGE_BANDS = {
-    "en": (1.7, 7.0, 0.10, 4.2),
-    "de": (1.5, 7.0, 0.10, 4.2),
-    "fr": (1.4, 7.0, 0.10, 4.2),
-    "es": (1.4, 7.0, 0.10, 4.2),
-}
+#: Widest bands for a script's texts and the multilingual vocabulary of 32,000 pieces: lowest and highest characters
+#: per token, highest share of byte-fallback tokens, lowest token entropy in bits.
 SCRIPT_BANDS = {
     "Latin": (1.3, 7.5, 0.15, 4.2),
     "Greek": (0.6, 4.0, 0.30, 3.5),
@@ -52,12 +47,15 @@ SCRIPT_BANDS = {
     "Han": (0.3, 2.0, 0.80, 3.5),
 }
 ANY_BAND = (0.25, 8.0, 1.0, 3.0)
+#: A language with LEAST_DOCS documents that pass the base rules has a band of its own besides, for characters per
+#: token: its median and WIDTH robust standard deviations, wider for short texts, whose figures scatter more.
+LEAST_DOCS, WIDTH, SHORT = 200, 4.5, 300
 
 MEASURES = StructType(
     [StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), StructField("n_tokens", LongType())]
+    + [StructField("base_failed", BooleanType()), StructField("in_script_band", BooleanType()), StructField("n_tokens", LongType())]
     + [StructField(n, DoubleType()) for n in ("chars_per_token", "byte_share", "token_entropy")]
-    + [StructField("band", StringType())]
+    + [StructField("script", StringType())]
 )
 
 
@@ -113,34 +111,60 @@ def fertility(text: str, c: PieceCodec) -> tuple[int, float | None, float | None
     return len(ids), len(text) / len(ids), fallback / len(ids), float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
 
 
-def measure(text: str, lang: str | None, c: PieceCodec, language_bands=None, script_bands=None) -> tuple:
-    language_bands, script_bands = language_bands or LANGUAGE_BANDS, script_bands or SCRIPT_BANDS
+def measure(text: str, c: PieceCodec) -> tuple:
     words, chars, symbols, dup, repeat = base_counts(text)
     tokens, per_token, fallback, entropy = fertility(text, c)
     failed = words < 50 or 100 * repeat > 50 * words
-    band = lang if lang in language_bands else script_of(text)
-    low, high, most, least = language_bands.get(band) or script_bands.get(band) or ANY_BAND
-    kept = bool(not failed and tokens and low <= per_token <= high and fallback <= most and entropy >= least)
-    return words, chars, symbols, dup, repeat, failed, kept, tokens, per_token, fallback, entropy, band
-
+    script = script_of(text)
+    low, high, most, least = SCRIPT_BANDS.get(script, ANY_BAND)
+    fits = bool(tokens and low <= per_token <= high and fallback <= most and entropy >= least)
+    return words, chars, symbols, dup, repeat, failed, fits, tokens, per_token, fallback, entropy, script
 
-def quality_rules(docs: DataFrame, model: str | None = None, language_bands: dict | None = None, script_bands: dict | None = None) -> DataFrame:
-    """Every row of docs (doc_id, text, lang, ...) with a struct column `quality_rules` of its counts and verdict.
 
-    A null or empty text has counts of zero, null fertility and fails. An unknown or null lang takes the band of the
-    text's script; a text without letters of a known script takes a wide band. Rows are judged one by one: repeated
-    rows get equal verdicts.
-    """
+def measured(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """docs (text, ...) with a struct column `quality_rules` of counts and fertility; every text is read whole."""
 
     @pandas_udf(MEASURES)
-    def measured(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    def measures(texts: pd.Series) -> pd.DataFrame:
         c = codec(model or default_model())
-        rows = [measure(t or "", g, c, language_bands, script_bands) for t, g in zip(texts, langs)]
-        return pd.DataFrame(rows, columns=MEASURES.names)
+        return pd.DataFrame([measure(t or "", c) for t in texts], columns=MEASURES.names)
+
+    return docs.withColumn("quality_rules", measures("text"))
+
+
+def language_bands(rows: DataFrame) -> DataFrame:
+    """lang, low, high, deviation of characters per token over all measured rows that pass the base rules."""
+    q = F.col("quality_rules")
+    use = rows.where(~q.base_failed & q.in_script_band & F.col("lang").isNotNull())
+    stats = use.groupBy("lang").agg(F.percentile_approx(q.chars_per_token, [0.25, 0.5, 0.75], 10_000).alias("p"), F.count("*").alias("n"))
+    return stats.where(F.col("n") >= LEAST_DOCS).select("lang", F.col("p")[1].alias("middle"), (WIDTH * (F.col("p")[2] - F.col("p")[0]) / 1.349).alias("reach"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows, as measured() returns them and read from a written table, with the verdict `quality_kept` besides.
+
+    A null or empty text has counts of zero, null fertility and fails. A null lang, or one with few documents, has no
+    band of its own; its texts are held against their script's band, and texts without letters of a known script
+    against a wide one. Repeated rows get equal verdicts.
+    """
+    bands = language_bands(rows)
+    few = bounded_broadcast(bands, rows.select("lang").distinct().count())
+    few = few.select(F.col("lang").alias("_parchmine_lang"), F.col("middle").alias("_parchmine_middle"), F.col("reach").alias("_parchmine_reach"))
+    q = F.col("quality_rules")
+    reach = F.col("_parchmine_reach") * F.sqrt(1 + SHORT / F.greatest(q.n_tokens, F.lit(1)))
+    inside = F.coalesce(F.abs(q.chars_per_token - F.col("_parchmine_middle")) <= reach, F.lit(True))
+    out = rows.join(few, F.col("lang") == F.col("_parchmine_lang"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], (~q.base_failed & q.in_script_band & inside).alias("quality_kept"))
+
 
-    return docs.withColumn("quality_rules", measured("text", "lang"))
+def quality_rules(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """docs with `quality_rules` and `quality_kept`; see judged()."""
+    return judged(Workspace(docs.sparkSession, "quality").write(measured(docs, model)))
 
 
 def op3_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", "quality_rules.*")
+    rows = Workspace(spark, "quality").write(measured(docs).drop("text"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    more = ["n_tokens", "chars_per_token", "byte_share", "token_entropy", "script"]
+    return judged(rows).select("doc_id", *[f"quality_rules.{c}" for c in base], F.col("quality_kept").alias("kept"), *[f"quality_rules.{c}" for c in more])

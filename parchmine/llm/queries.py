@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .fertility import op3_quality_fertility
+from .lines import op9_line_dedup
+from .mixing import op1_mixing_temperature
 from .pieces import op6_sentencepiece_round_trip
 from .projections import OP10_SQL, op10_embedding_near_dedup
 from .simhash import op5_simhash_near_dedup
+from .toxicity import op4_toxicity_counterfactual
 
 QUERIES = {
+    "op1_mixing_temperature": op1_mixing_temperature,
     "op3_quality_fertility": op3_quality_fertility,
+    "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sentencepiece_round_trip": op6_sentencepiece_round_trip,
+    "op9_line_dedup": op9_line_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 

@@ -44,7 +44,7 @@ def _signed(x: int) -> int:
 
 
 @pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
+def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
 
@@ -65,7 +65,7 @@ def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFra
     """
     spark = docs.sparkSession
     work = Workspace(spark, "simhash")
-    prints = work.write(docs.select("doc_id", _fingerprints("text").alias("fp")))
+    prints = work.write(docs.select("doc_id", fingerprints("text").alias("fp")))
     different = work.write(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     links = work.write(_links(work, different, hot_bucket))
     found = work.write(connected_components(work, links))

@@ -31,8 +31,8 @@ def test_verdicts(spark):
     vocabulary = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about than into them can only other new some could time these two may".split()
     good = " ".join(rng.choice(vocabulary) for _ in range(200))
     rows = [(1, good, "en"), (2, None, "en"), (3, "", None), (4, "spam " * 200, "en"), (5, good, None), (6, "\U00013000\U00013001\U00013002 " * 3 + " ".join("".join(chr(0x13000 + rng.randrange(900)) for _ in range(8)) for _ in range(90)), "en"), (1, good, "en"), (7, " ".join(rng.choice("абвгд") * 3 + rng.choice("ежзик") * 2 + str(i) for i in range(80)), "xx")]
-    got = [tuple(r) for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("doc_id", "quality_rules.kept", "quality_rules.base_failed", "quality_rules.band").collect()]
-    assert sorted(got, key=str) == sorted([(1, True, False, "en"), (2, False, True, "en"), (3, False, True, None), (4, False, True, "en"), (5, True, False, "Latin"), (6, False, False, "en"), (1, True, False, "en"), (7, True, False, "Cyrillic")], key=str)
+    got = [tuple(r) for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("doc_id", "quality_kept", "quality_rules.base_failed", "quality_rules.script").collect()]
+    assert sorted(got, key=str) == sorted([(1, True, False, "Latin"), (2, False, True, None), (3, False, True, None), (4, False, True, "Latin"), (5, True, False, "Latin"), (6, True, False, None), (1, True, False, "Latin"), (7, True, False, "Cyrillic")], key=str)
 
 
 def test_entropy_and_bytes():
@@ -41,3 +41,14 @@ def test_entropy_and_bytes():
     assert (n, per, share) == (4, 7 / 4, 0) and entropy == pytest.approx(0)
     assert Q.fertility("\U00013000", c)[2] == pytest.approx(4 / 5)
     assert Q.fertility("", c) == (0, None, None, None)
+
+
+def test_language_band(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LEAST_DOCS", 50)
+    rng = random.Random(3)
+    words = "people water little number sound place years live back give most very after thing name good sentence great think help through much before line right mean same tell follow came want show also around form three small".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300)), "en") for i in range(120)]
+    rows += [(900, " ".join(w + "###$$$&&&" for w in rows[0][1].split()), "en"), (901, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(200)), "en")]
+    got = {r.doc_id: r.quality_kept for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, kept in got.items() if not kept] == [900, 901]
+    assert Q.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
