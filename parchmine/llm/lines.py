@@ -17,7 +17,7 @@ from .components import connected_components
 #: threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
 SHINGLE, ROWS, BANDS, THRESHOLD = 9, 4, 12, 0.8
 #: Lines of a bucket that one group of the second round compares with as many others.
-BLOCK = 256
+BLOCK = 1000
 SPACES = " \t\n\v\f\r"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -72,6 +72,34 @@ def similar(a: str, b: str) -> bool:
     return both >= THRESHOLD * (len(x) + len(y) - both)
 
 
+def similar_across(lines: list[str], part: np.ndarray, block: np.ndarray, own: bool) -> list[tuple[int, int]]:
+    """Pairs of similar lines that join all parts which similar pairs of different parts join.
+
+    With own, pairs lie in one block, else in two. Each line outside the largest part is held against all others at
+    once: the lines that have each of its shingles are counted.
+    """
+    sets = [shingles(x) for x in lines]
+    size = np.array([len(s) for s in sets])
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(s, len(number)) for x in sets for s in x])
+    owner = np.repeat(np.arange(len(lines)), size)
+    by = np.argsort(ids, kind="stable")
+    holders, first = owner[by], np.searchsorted(ids[by], np.arange(len(number) + 1))
+    parts, root, counts = np.unique(part, return_inverse=True, return_counts=True)
+    largest, at, out = counts.argmax(), np.cumsum(size) - size, []
+    label = root.copy()
+    for i in np.flatnonzero(root != largest).tolist():
+        mine = ids[at[i] : at[i] + size[i]]
+        both = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine]), minlength=len(lines))
+        near = (both >= THRESHOLD * (size + size[i] - both)) & (label != label[i])
+        near &= (block == block[i]) if own else (block != block[i])
+        for j in np.flatnonzero(near).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def _bands(batches):
     """Band keys and line hashes of a task's texts; a line that the task has met lately is left out."""
     seen: set[int] = set()
@@ -153,20 +181,9 @@ def _rest(work: Workspace, stars: DataFrame, parts: DataFrame, texts: DataFrame)
     groups = work.write(groups.select("key", "node", "part", "block", "g.x", "g.y")).join(texts.withColumnRenamed("h1", "node"), "node")
 
     def compare(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(df["node"].tolist(), df["part"].tolist(), df["block"].tolist(), df["line"]))
-        root, out = {}, []
-
-        def find(p):
-            while root.setdefault(p, p) != p:
-                p = root[p]
-            return p
-
-        for i, (a, p, x, s) in enumerate(rows):
-            for b, q, y, t in rows[i + 1 :]:
-                if (x != y or key[1] == key[2]) and find(p) != find(q) and similar(s, t):
-                    root[find(p)] = find(q)
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        pairs = similar_across(df["line"].tolist(), df["part"].to_numpy(), df["block"].to_numpy(), key[1] == key[2])
+        nodes = df["node"].tolist()
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
     return groups.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
 

@@ -60,3 +60,23 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "one line of text\nb"), (1, "one line of text\nb"), (2, "one line of text")], "doc_id long, text string")
     assert sorted(r.text for r in L.dedup_lines(df).collect()) == ["", "one line of text\nb", "one line of text\nb"]
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_similar_across_matches_pairs():
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(4)]
+    lines = []
+    for _ in range(60):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(80)] = rng.choice("xyz")
+        lines.append("".join(t))
+    part, block = L.np.array([rng.randrange(30) for _ in lines]), L.np.array([rng.randrange(2) for _ in lines])
+    for own in (True, False):
+        def joined(pairs):
+            label = list(part)
+            for i, j in pairs:
+                label = [label[i] if x == label[j] else x for x in label]
+            return [label.index(x) for x in label]
+        brute = [(i, j) for i in range(60) for j in range(i) if (block[i] == block[j]) == own and L.similar(lines[i], lines[j])]
+        assert joined(L.similar_across(lines, part, block, own)) == joined(brute)
