@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parchmine.functions import html_tables, text
+from parchmine.operators import markdown, ranges, regions, training
 from parchmine.plans import catalog
 from parchmine.plans.dialect import for_duckdb, plan
-from parchmine.sources import tables
+from parchmine.sources import files, tables
+from parchmine.streaming import progress
 
 #: Names in plans for whole input tables.
 RAW = {"webpages": "pages", "benchmark": "benchmark"}
@@ -30,3 +34,143 @@ def _oracle(names: list[str], sql: str) -> str:
 
 QUERIES = {name: _query(frames, sql) for name, (_, frames, sql) in catalog.P.items()}
 ORACLES = {name: _oracle(frames, sql) for name, (_, frames, sql) in catalog.P.items()}
+
+
+def page_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Page expressions with full-width marks, as ranges, merged, as text and as pages."""
+    docs = tables.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 9 + 1).alias("a"), (F.col("doc_id") % 20 + 1).alias("b"))
+    raw = docs.select("doc_id", F.concat(F.col("a").cast("string"), F.lit("–"), (F.col("a") + 2).cast("string"), F.lit("， "), F.col("b").cast("string")).alias("e"))
+    merged = ranges.parse_ranges(F.col("e"))
+    return raw.select(
+        "doc_id", ranges.ranges_text(merged).alias("merged"), ranges.normalised_expression(F.translate("e", ranges.MARKS, ranges.ASCII)).alias("normalised"),
+        F.coalesce(F.size(ranges.page_set(F.translate(F.replace(F.col("e"), F.lit(" "), F.lit("")), ranges.MARKS, ranges.ASCII), F.lit(20))), F.lit(0)).cast("long").alias("n_pages"),
+    )
+
+
+PAGE_EXPRESSIONS = """
+SELECT doc_id, CASE WHEN b BETWEEN a AND a + 2 THEN a || '-' || (a + 2) WHEN b = a + 3 THEN a || '-' || b WHEN b = a - 1 THEN b || '-' || (a + 2)
+  WHEN b < a THEN b || ',' || a || '-' || (a + 2) ELSE a || '-' || (a + 2) || ',' || b END AS merged, a || '-' || (a + 2) || ',' || b AS normalised,
+  (CASE WHEN b BETWEEN a AND a + 2 THEN 3 ELSE 4 END)::BIGINT AS n_pages
+FROM (SELECT doc_id, doc_id % 9 + 1 AS a, doc_id % 20 + 1 AS b FROM documents)"""
+
+
+def budget_page_choice(spark: SparkSession, d: str) -> DataFrame:
+    docs = _query(*catalog.P["page_choice_short_document"][1:])(spark, d)
+    docs = docs.select("doc", F.col("pages").alias("page_count"), "tokens", F.array(F.lit(2)).alias("contents"), F.lit("text").alias("kind"))
+    return ranges.choose_pages(docs, QUERIES["page_search_topk"](spark, d))
+
+
+def text_keys(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "documents").select("doc_id", text.text_key_of("text").alias("key"))
+
+
+def hashed_text_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.table(spark, d, "documents").select("doc_id", F.explode(text.hashed_features_of("text")).alias("slot", "weight"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("slots"), F.round(F.sum(F.col("weight") ** 2), 6).alias("norm"))
+
+
+def title_similarity(spark: SparkSession, d: str) -> DataFrame:
+    first = F.split("text", "\n")
+    docs = tables.table(spark, d, "documents").select("doc_id", first[0].alias("a"), F.coalesce(F.try_element_at(first, F.lit(2)), F.lit("")).alias("b"))
+    return docs.select("doc_id", F.round(text.similarity_of("a", "b"), 6).alias("ratio"))
+
+
+def strict_json(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "events").select("event_id", text.strict_json_error_of("props").alias("error"))
+
+
+STRICT_JSON = "SELECT event_id, CASE WHEN props IS NULL THEN 'null' WHEN NOT json_valid(props) THEN 'not JSON' END AS error FROM events"
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown: a contents list of their lines, and the lines as headings."""
+    heads = F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 10), 1, 30), lambda x: F.rtrim(F.substring(x, 1, 40), F.lit(" .,!?|*-_()[]")))
+    entry = F.transform(F.col("h"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x, F.lit(" ..... "), (i + 3).cast("string")))
+    head = F.transform(F.col("h"), lambda x, i: F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(" "), x, F.lit("\n\nText.")))
+    docs = tables.table(spark, d, "documents").select("doc_id", heads.alias("h"))
+    return docs.select("doc_id", F.concat(F.lit("# Contents\n\n"), F.array_join(entry, "\n"), F.lit("\n\n"), F.array_join(head, "\n\n")).alias("text"))
+
+
+def navigation_links(spark: SparkSession, d: str) -> DataFrame:
+    return _markdown(spark, d).select("doc_id", markdown.link_navigation_of("text").alias("text"))
+
+
+def navigation_audit(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.audit_navigation(navigation_links(spark, d))
+
+
+def entry_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of two lists of each document, merged in order."""
+    docs = _markdown(spark, d).select("doc_id", F.split("text", "\n\n")[1].alias("a"))
+    docs = docs.select("doc_id", "a", F.array_join(F.filter(F.split("a", "\n"), lambda x, i: i % 3 != 1), "\n").alias("b"))
+    titles = lambda t: [e[0] for e in markdown.parse_entries(t)]
+    merged = text.column(lambda a, b: "\n".join(text.merge_sequences(titles(b), titles(a))), text.StringType())
+    return docs.select("doc_id", merged("a", "b").alias("entries"))
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {"h1": "title", "p": "paragraph", "li": "list", "div": "aside"}
+    found = tables.blocks(spark, d)
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("type")]
+    return found.select(F.floor(F.col("page_id") / 10).cast("string").alias("doc"), (F.col("page_id") % 10 + 1).alias("page"), "pos", kind.alias("type"), F.col("body").alias("text"))
+
+
+def page_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return regions.classify_pages(_blocks(spark, d))
+
+
+def page_regions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.merge_regions(page_kinds(spark, d))
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+
+
+def linear_training(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions for held-out vectors of a model that is fitted on the others, at most 2,000 of them."""
+    rows = _rows(spark, d).withColumn("split", training.split_of(F.col("id").cast("string")))
+    model = training.fit_linear(rows.where("split = 'train'").orderBy(F.xxhash64("id"), "id").limit(2000), epochs=100)
+    out = training.predict_linear(rows.where("split != 'train'"), model)
+    return out.select("id", "top", F.round("p1", 4).alias("p1"), F.round(F.col("p1") - F.col("p2"), 4).alias("margin"))
+
+
+def doc_split(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "documents").select("doc_id", training.split_of(F.col("doc_id").cast("string")).alias("split"))
+
+
+DOC_SPLIT = "SELECT doc_id, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'calibration' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || left(sha256('7' || chr(0) || doc_id::VARCHAR), 16))::UBIGINT % 100 AS h FROM documents)"
+
+
+def table_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with bars as HTML tables, then as Markdown."""
+    cells = F.transform(F.split("line", "[|]"), lambda c: F.concat(F.lit("<td>"), F.trim(c), F.lit("</td>")))
+    html = F.concat(F.lit("<table><tr>"), F.array_join(cells, ""), F.lit("</tr></table>"))
+    return tables.lines(spark, d).where(F.contains("line", F.lit("|"))).select("doc_id", "pos", html_tables.with_markdown_tables_of(html).alias("markdown"))
+
+
+def progress_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = tables.lines(spark, d).select("doc_id", "pos", F.concat("pos", F.lit("/"), F.lit(20)).alias("line"))
+    return lines.select("doc_id", "pos", progress.percent(F.col("line")).alias("percent"))
+
+
+PROGRESS = "SELECT doc_id, pos - 1 AS pos, round(least(100.0::DOUBLE, (pos - 1) * 5.0::DOUBLE), 1) AS percent FROM (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents)"
+
+
+def content_list_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as content lists, decoded again."""
+    page = F.to_json(F.array(F.array(F.struct(F.lit("Title").alias("type"), F.col("url").alias("text"), F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)).alias("bbox")))))
+    docs = tables.table(spark, d, "pages").select(F.col("page_id").alias("doc"), page.alias("json"))
+    return files.read_content_lists(docs).select("doc", "page", "type", "text", F.coalesce(F.size("bbox"), F.lit(0)).cast("long").alias("box_numbers"))
+
+
+CONTENT_LISTS = "SELECT page_id AS doc, 1::BIGINT AS page, 'title' AS type, url AS text, 4::BIGINT AS box_numbers FROM pages"
+
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        page_expressions, budget_page_choice, text_keys, hashed_text_features, title_similarity, strict_json, navigation_links, navigation_audit, entry_fusion,
+        page_kinds, page_regions, linear_training, doc_split, table_markdown, progress_lines, content_list_blocks,
+    )
+}
+ORACLES |= {"page_expressions": PAGE_EXPRESSIONS, "strict_json": STRICT_JSON, "doc_split": DOC_SPLIT, "progress_lines": PROGRESS, "content_list_blocks": CONTENT_LISTS}
