@@ -166,10 +166,15 @@ def _sorted_groups(batches):
 def _windows(batches):
     """Two hashes of each window of each context, by which equal windows of frequent anchors are counted."""
     for batch in batches:
-        for k, first, context in zip(batch["k"], batch["first"], batch["context"]):
-            data = np.frombuffer(context, np.uint8)
-            w1, w2 = (gram_hashes(data, LENGTH, b).view(np.int64) for b in (_A, _B))
-            yield pd.DataFrame({"k": k, "start": first + np.arange(len(w1)), "w1": w1, "w2": w2})
+        for at in range(0, len(batch), 500):
+            part = batch.iloc[at : at + 500]
+            size = part["context"].map(len).to_numpy()
+            n = size - LENGTH + 1
+            flat = np.frombuffer(b"".join(part["context"]), np.uint8)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = step + np.repeat(np.cumsum(size) - size, n)
+            w1, w2 = (gram_hashes(flat, LENGTH, b)[place].view(np.int64) for b in (_A, _B))
+            yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), n), "start": np.repeat(part["first"].to_numpy(), n) + step, "w1": w1, "w2": w2})
 
 
 def _key() -> Column:
