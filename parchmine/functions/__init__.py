@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Functions on texts and HTML tables, plain and as Arrow-batched columns."""

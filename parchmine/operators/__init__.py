@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Operators that need more than a relational plan."""

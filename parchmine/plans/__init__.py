@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Relational plans in SQL that Spark and the correctness oracle both read."""

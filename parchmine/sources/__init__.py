@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Files and input tables as frames, and frames as files."""

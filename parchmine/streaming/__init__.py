@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Streams of progress events."""
