@@ -185,4 +185,25 @@ P = {
     "profile_mapping": (["P07", "P06", "D02"], ["judged"], "SELECT doc_id, CASE gold WHEN 1 THEN 'hybrid' ELSE 'pipeline' END AS backend, CASE WHEN prob > 0.7 THEN 'high' WHEN prob > 0.3 THEN 'medium' ELSE 'low' END AS effort, accepted AND gold = 1 AS image_analysis FROM {judged}"),
     "error_taxonomy": (["P37"], ["judged"], "SELECT doc_id, code, code IN ('TIMEOUT', 'SERVICE') AS retryable FROM (SELECT doc_id, CASE WHEN accepted THEN 'OK' WHEN gold = 1 THEN 'TIMEOUT' ELSE 'INVALID_PAGES' END AS code FROM {judged}) t"),
     "finite_checks": (["P08", "P29"], ["components"], "SELECT vec_id, count_if(x BETWEEN 0 AND 1) AS probabilities, bool_and(abs(x) <= 1e7) AS bounded FROM {components} GROUP BY vec_id"),
+    "model_approval": (["P22", "S28"], ["judged"], "SELECT doc, length(digest) = 64 AND digest = expected AND bool_and_ok AS approved FROM (SELECT doc, @SHA256(doc || '|' || CAST(sum(gold) AS @STR)) AS digest, @SHA256(doc || '|' || CAST(sum(pred) AS @STR)) AS expected, count_if(accepted) * 2 >= count(*) AS bool_and_ok FROM {judged} GROUP BY doc) t"),
+    "artifact_validation": (["P23", "S12", "S20"], ["components"], "SELECT label, count(DISTINCT feature) AS features, count(*) = count(DISTINCT feature) * count(DISTINCT vec_id) AS complete, max(abs(x)) < 1e6 AS finite, round(min(x), 6) AS low, round(max(x), 6) AS high FROM {components} GROUP BY label"),
+    "provenance_binding": (["P33", "S26"], ["judged", "pages"], "SELECT p.doc, count(*) AS pages, count(j.doc_id) AS labels, count(j.doc_id) <= count(*) * 3 AS bounded, count_if(j.gold = 1) AS present FROM {pages} p LEFT JOIN {judged} j ON p.doc_id = j.doc_id GROUP BY p.doc"),
+    "result_fields": (["P34", "S27", "S08"], ["pages"], "SELECT doc_id, substring(text, 1, 40) AS markdown, CAST(n_chars AS BIGINT) AS characters FROM {pages} WHERE n_chars > 0"),
+    "display_labels": (["P36"], ["lines"], "SELECT doc_id, pos, replace(replace(substring(trim(line), 1, 60), '[', '('), ']', ')') || CASE WHEN length(trim(line)) > 60 THEN '…' ELSE '' END AS label FROM {lines} WHERE trim(line) <> ''"),
+    "navigation_by_page": (["J06", "D15"], ["links"], "SELECT page_id, kind, count(*) AS blocks, bool_and(length(href) <= 120) AS valid FROM (SELECT page_id, href, CASE WHEN length(href) < 5 THEN 'short' WHEN length(href) < 9 THEN 'middle' ELSE 'long' END AS kind FROM {links}) t GROUP BY page_id, kind"),
+    "candidate_fields": (["F27", "D13"], ["judged"], "SELECT doc_id, CASE WHEN accepted THEN 'rule' WHEN gold = 1 THEN 'layout' ELSE 'text' END AS stage, coalesce(CASE WHEN accepted THEN prob END, 1 - prob) AS score, CASE WHEN @RLIKE('low_probability', '^[a-z_]{{1,40}}$') AND NOT accepted THEN 'low_probability' END AS reason FROM {judged}"),
+    "candidate_blocks_added": (["C11"], ["lines"], "SELECT doc_id, count(*) AS blocks FROM (SELECT doc_id, line FROM {lines} WHERE pos <= 3 UNION SELECT doc_id, line FROM {lines} WHERE pos BETWEEN 2 AND 6) t GROUP BY doc_id"),
+    "report_cache": (["C15", "M06"], ["pages", "judged"], "SELECT p.doc_id, CASE WHEN j.doc_id IS NULL THEN 'miss' WHEN md5(p.text) = md5(p.text || CASE WHEN j.accepted THEN '' ELSE '!' END) THEN 'hit' ELSE 'stale' END AS state FROM {pages} p LEFT JOIN {judged} j ON p.doc_id = j.doc_id"),
+    "outline_hints": (["C19", "S14"], ["lines"], "SELECT doc_id, pos, CASE WHEN @RLIKE(lower(line), '^(chapter|part|1[. ])') THEN 'body_start' WHEN @RLIKE(lower(line), '^(the|der|le|el) ') THEN 'preface' WHEN pos = 0 THEN 'cover' END AS hint FROM {lines} WHERE pos <= 2"),
+    "structured_entries": (["M09", "M05"], ["lines"], f"SELECT doc_id, count(*) AS entries, count_if({NAV}) AS paged, 5 * count_if({NAV}) >= 3 * count(*) AND count(*) >= 3 AS trusted FROM ({ENTRIES}) e GROUP BY doc_id"),
+    "caption_targets": (["M12", "M13", "M15"], ["lines"], "SELECT a.doc_id, a.pos AS entry_pos, min(b.pos) AS caption_pos FROM (SELECT doc_id, pos, split_part(line, ' ', 1) AS k FROM {lines} WHERE pos < 3) a JOIN (SELECT doc_id, pos, split_part(line, ' ', 1) AS k FROM {lines} WHERE pos >= 3) b ON a.doc_id = b.doc_id AND a.k = b.k WHERE a.k <> '' GROUP BY a.doc_id, a.pos"),
+    "range_ownership": (["M11", "M08", "M14"], ["lines"], "SELECT doc_id, count(*) AS records, count_if(backed) AS supported, count(*) >= 3 AND 4 * count_if(backed) >= 3 * count(*) AS owned FROM (SELECT a.doc_id, a.pos, b.doc_id IS NOT NULL AS backed FROM {lines} a LEFT JOIN (SELECT doc_id, substring(line, 1, 10) AS k, min(pos) AS pos FROM {lines} WHERE length(line) >= 10 GROUP BY doc_id, substring(line, 1, 10)) b ON a.doc_id = b.doc_id AND substring(a.line, 1, 10) = b.k AND b.pos < a.pos WHERE length(a.line) >= 10) t GROUP BY doc_id"),
+    "section_notes": (["M16", "M18"], ["lines"], "SELECT doc_id, pos, line FROM {lines} WHERE length(trim(line)) BETWEEN 40 AND 240 AND NOT @RLIKE(line, '[0-9]$') AND @RLIKE(line, '[.]$')"),
+    "published_pages": (["M23", "M17", "U05"], ["pages"], "SELECT doc, page, CASE WHEN count(*) OVER (PARTITION BY doc) > 1 THEN '## Pages ' || CAST(page AS @STR) || chr(10) ELSE '' END || substring(text, 1, 80) AS markdown FROM {pages}"),
+    "bounded_log": (["X02", "S22"], ["events"], "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM {events}) t WHERE r <= 40"),
+    "event_progress": (["X03", "X07", "D26"], ["events"], "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {events}) t WHERE value IS NOT NULL AND (top IS NULL OR value > top)"),
+    "event_terminal": (["X04"], ["events"], "SELECT user_id, event_type, count(*) AS events, round(max(value), 6) AS highest FROM {events} GROUP BY user_id, event_type"),
+    "entry_digits": (["F09", "F11", "F33"], ["lines"], f"SELECT doc_id, pos, regexp_replace(regexp_extract(line, '([0-9 ]+)$', 1), ' ', ''@G) AS page, upper(regexp_extract(line, '^([0-9]+)', 1)) AS prefix FROM ({ENTRIES}) e"),
+    "repeated_sections": (["W15", "W13"], ["turns"], "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM {turns}) t WHERE before IS NULL OR before <> role"),
+    "leading_window": (["W03", "C04"], ["pages"], "SELECT doc, page, count_if(lang = 'en') OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead8, count_if(lang = 'en') OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS behind12 FROM {pages}".replace("count_if(lang = 'en') OVER", "count(CASE WHEN lang = 'en' THEN 1 END) OVER")),
 }

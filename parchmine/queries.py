@@ -15,7 +15,7 @@ from parchmine.sources import files, tables
 from parchmine.streaming import progress
 
 #: Names in plans for whole input tables.
-RAW = {"webpages": "pages", "benchmark": "benchmark"}
+RAW = {"webpages": "pages", "benchmark": "benchmark", "events": "events"}
 
 
 def _query(names: list[str], sql: str) -> Callable[[SparkSession, str], DataFrame]:
