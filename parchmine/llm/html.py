@@ -307,7 +307,7 @@ class Pages:
         return escape(" ".join(marks)).capitalize()
 
     def tag(self, name: str, truth: int, inner: str, names: str = "", chance: float = 0.75) -> str:
-        attr = ""
+        attr, chance = "", min(chance, 0.5) if name in ("nav", "header", "footer", "aside", "form") else chance
         if names and self.r.random() < chance:
             attr = f' {self.r.choice(["class", "id", "class"])}="{self.r.choice(names.split())}"'
         end = "" if name == "p" and self.r.random() < 0.1 else f"</{name}>"
@@ -322,10 +322,12 @@ class Pages:
         return self.r.choice([" ", " | ", ""]).join(self.link() for _ in range(self.r.randint(low, high)))
 
     def menu(self) -> str:
+        if self.r.random() < 0.15:
+            return self.tag("ul", 0, "".join(self.tag("li", 0, self.link()) for _ in range(self.r.randint(3, 10))), "menu nav breadcrumbs", 0.8)
         return self.tag(*self.r.choice([("nav", 0), ("nav", 0), ("div", 0)]), self.links(3, 12), "nav menu navbar main-menu breadcrumb", 0.6)
 
     def head(self) -> str:
-        inner = self.r.choice([self.tag("div", 0, self.words(1, 4), "logo site-title branding"), self.tag("p", 0, self.words(2, 9), "tagline"), self.tag("h2", 0, self.link())])
+        inner = self.r.choice([self.tag("div", 0, self.words(1, 4), "logo site-title branding"), self.tag("p", 0, self.words(2, 9), "tagline"), self.tag("h2", 0, self.link()), self.tag("h1", 0, self.words(1, 4)), self.tag("h1", 0, self.link())])
         return self.tag(*self.r.choice([("header", 0), ("header", 0), ("div", 0)]), inner + (self.menu() if self.r.random() < 0.6 else ""), "header masthead site-header topbar", 0.9)
 
     def foot(self) -> str:
@@ -338,11 +340,17 @@ class Pages:
 
     def ad(self) -> str:
         inner = self.r.choice([self.words(2, 25), self.tag("p", 0, self.words(2, 25)), self.link(2, 9), self.words(3, 12) + self.link()])
-        return self.tag(self.r.choice(["div", "div", "section", "aside"]), 0, inner, "ad ads advert advertisement sponsored promo ad-slot", 1)
+        kind = self.r.choice(["div", "div", "section", "aside", "p", "ins"])
+        if kind in ("p", "ins"):
+            kind, inner = kind.replace("ins", "div"), self.words(2, 25)
+        return self.tag(kind, 0, inner, "ad ads advert advertisement sponsored promo ad-slot", 1)
 
     def notice(self) -> str:
         inner = self.r.choice([self.words(4, 30), self.tag("p", 0, self.words(4, 30))]) + self.r.choice(["", self.link(), "<button>ok</button>"])
-        return self.tag(self.r.choice(["div", "div", "section", "dialog", "aside"]), 0, inner, "cookie-notice cookie-banner consent notice alert popup newsletter subscribe gdpr announcement", 1)
+        kind = self.r.choice(["div", "div", "section", "dialog", "aside", "p"])
+        if kind == "p":
+            inner = self.words(4, 30)
+        return self.tag(kind, 0, inner, "cookie-notice cookie-banner consent notice alert popup newsletter subscribe gdpr announcement", 1)
 
     def form(self) -> str:
         inner = self.r.choice(["", self.words(1, 6), self.tag("p", 0, self.words(2, 12)), f"<label>{self.words(1, 3)}</label>"]) + "<input name=q><button>go</button>"
@@ -353,7 +361,9 @@ class Pages:
         one = lambda: self.tag(kind, 0, self.words(3, 40) if kind == "p" else self.r.choice([self.tag("p", 0, self.words(3, 60)), self.words(3, 40)]), "comment reply", 0.8)
         inner = self.r.choice(["", self.tag("h3", 0, self.words(1, 3))]) + "".join(one() for _ in range(self.r.randint(1, 7)))
         if kind == "li":
-            inner = self.tag("ol", 0, inner, "commentlist")
+            inner = self.tag(self.r.choice(["ol", "ul"]), 0, inner, "commentlist comments", 0.8)
+            if self.r.random() < 0.3:
+                return self.tag("div", 0, inner, "comments", 0.9)
         return self.tag(self.r.choice(["section", "div", "div"]), 0, inner + (self.form() if self.r.random() < 0.4 else ""), "comments comment-list responses discussion respond", 1)
 
     def share(self) -> str:
@@ -392,10 +402,16 @@ class Pages:
             body = self.tag("div", 1, body, "content body text inner")
         if r.random() < 0.25:
             body += r.choice([self.share, self.comments, self.comments])()
+        if r.random() < 0.12:
+            return body
         return self.tag(*r.choice([("article", 1), ("article", 1), ("main", 1), ("div", 1), ("section", 1)]), body, "article content post entry story main", 0.5)
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.06:
+            return f'<html><body data-truth="1">{self.article()}</body></html>'
+        if r.random() < 0.04:
+            return "".join(self.paragraph() for _ in range(r.choice([1, 1, 2, 4])))
         before = [f() for f, p in ((self.head, 0.5), (self.menu, 0.6), (self.notice, 0.25), (self.ad, 0.4), (self.form, 0.15), (self.side, 0.15)) if r.random() < p]
         after = [f() for f, p in ((self.comments, 0.3), (self.share, 0.2), (self.side, 0.3), (self.ad, 0.2), (self.form, 0.15), (self.notice, 0.15)) if r.random() < p]
         r.shuffle(before)
@@ -407,7 +423,7 @@ class Pages:
 
 
 @lru_cache(4)
-def trained(pages: int = 500, seed: int = 5) -> Boosted:
+def trained(pages: int = 700, seed: int = 5) -> Boosted:
     """The model, fitted on so many made pages; the same for the same arguments."""
     maker = Pages(seed)
     doms = [Dom(maker.page()) for _ in range(pages)]
