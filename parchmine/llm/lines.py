@@ -155,15 +155,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     pairs = stars.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     links = work.write(pairs.join(left, "a").join(right, "b").where(_similar("ta", "tb")).select("a", "b"))
     parts = work.write(connected_components(work, links))
-    links = work.write(links.union(_rest(work, stars, parts, texts)))
+    links = work.write(links.union(_rest(work, stars, bounded_broadcast(parts, parts.count(), 1_000_000), texts)))
     parts = work.write(connected_components(work, links))
+    parts = bounded_broadcast(parts, parts.count(), 1_000_000)
 
     near = heads.join(parts, heads.h1 == parts.node).select("h1", "component", "first")
     firsts = work.write(near.groupBy("component").agg(F.min("first").alias("kept")))
     kept = work.write(
         heads.join(parts, heads.h1 == parts.node, "left").join(firsts, "component", "left").where("kept is not null or n > 1").select("h1", "h2", F.coalesce("kept", "first").alias("kept"))
     )
-    gone = lines.join(kept, ["h1", "h2"]).where((F.col("k") != F.col("kept.k")) | (F.col("pos") != F.col("kept.pos")))
+    gone = lines.join(bounded_broadcast(kept, kept.count(), 500_000), ["h1", "h2"]).where((F.col("k") != F.col("kept.k")) | (F.col("pos") != F.col("kept.pos")))
     return gone.groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
@@ -198,6 +199,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     last. Rows with equal doc_id and text count as one document and lose the same lines.
     """
     dropped = Workspace(docs.sparkSession, "dropped").write(dropped_lines(docs))
+    size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
+    dropped = bounded_broadcast(dropped, sum(size), 2_000_000)
     key = F.xxhash64("doc_id", "text")
     clean = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), s -> not array_contains(_parchmine_dropped, s.i)), s -> s.x), '\\n')")
     marked = docs.join(dropped.select(F.col("k").alias("_parchmine_k"), F.col("dropped").alias("_parchmine_dropped")), key == F.col("_parchmine_k"), "left")
