@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -101,7 +100,7 @@ def script_of(text: str) -> str | None:
 
 def fertility(text: str, c: PieceCodec) -> tuple[int, float | None, float | None, float | None]:
     """Tokens, characters per token, share of byte-fallback tokens (line feeds apart) and token entropy in bits."""
-    ids = np.fromiter(chain.from_iterable(r[0] for r in c.records(text)), np.int64)
+    ids = np.array(c.encode(text), np.int32)
     if not len(ids):
         return 0, None, None, None
     ids = np.sort(ids)

@@ -1,12 +1,11 @@
-"""SentencePiece encoding that keeps offsets: normalisation with alignment, cached segmentation, spans, decoding."""
+"""SentencePiece encoding that keeps offsets: normalisation with alignment, segmentation, spans, decoding."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -18,8 +17,6 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import table
 
 SPACE = "▁"
-#: Chunks that a Python worker remembers, and the longest of them; both only bound memory.
-CACHE, LONGEST = 150_000, 48
 
 
 class CharsMap:
@@ -105,9 +102,8 @@ class Normalizer:
 class PieceCodec:
     """Encodes and decodes exactly as the library does with the model, and gives each piece its bytes of the source.
 
-    No piece of such models joins the end of a word with a space mark that follows, and none holds a line feed unless
-    the model says otherwise. So the text falls into chunks whose segmentations don't touch; each is made once by the
-    library and remembered. A model without this property is encoded text by text.
+    The library segments; normalisation with its alignment, spans and digests are made here. Where the model's
+    normaliser only marks spaces (`plain`), the alignment is the running length of the pieces.
     """
 
     def __init__(self, path: str):
@@ -123,48 +119,24 @@ class PieceCodec:
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(n)])
         self.bytes = [bytes([int(t[3:5], 16)]) if b else t.encode() for t, b in zip(texts, self.is_byte)]
         self.lengths = np.array([len(b) for b in self.bytes])
-        self.mark, self.newline = self.sp.piece_to_id(SPACE), self.sp.piece_to_id("<0x0A>")
-        ordinary = [t for i, t in enumerate(texts) if not (self.is_byte[i] or self.sp.is_control(i) or self.sp.is_unknown(i))]
-        self.chunked = (
-            self.normalizer.plain
-            and not any(re.search(f"[^{SPACE}]{SPACE}", t) or "\n" in t for t in ordinary)
-            and self.sp.encode("\na")[:2] == [self.mark, self.newline]
-        )
-        self.chunks = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
-        self.cache: dict[str, tuple] = {}
-
-    def records(self, text: str) -> list[tuple]:
-        """For each chunk: its ids, their decimals joined by commas, its decoded bytes, its length in normalised bytes."""
-        if not text:
-            return []
-        if not self.chunked:
-            ids = self.sp.encode(text)
-            return [(ids, b",".join(b"%d" % i for i in ids), self.sp.decode(ids).encode(), int(self.lengths[ids].sum()))]
-        parts = self.chunks(SPACE + text.replace(" ", SPACE))
-        get = self.cache.get
-        out = [get(c) for c in parts]
-        if None in out:
-            new = list({c for c, r in zip(parts, out) if r is None})
-            made = dict(zip(new, self._encode(new)))
-            out = [r or made[c] for c, r in zip(parts, out)]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            self.cache.update((c, r) for c, r in made.items() if len(c) <= LONGEST)
-        return out
-
-    def _encode(self, parts: list[str]) -> list[tuple]:
-        found = self.sp.encode([c[1:] if c[0] == SPACE else "\n" + c for c in parts], num_threads=1)
-        out = []
-        for c, ids in zip(parts, found):
-            if c[0] != SPACE:
-                ids = [self.newline] if c == "\n" else ids[2:]
-            elif c == SPACE:
-                ids = [self.mark]
-            out.append((ids, b",".join([b"%d" % i for i in ids]), c.replace(SPACE, " ").encode(), len(c.encode())))
-        return out
+        self.newline = self.sp.piece_to_id("<0x0A>")
+        self.plain = self.normalizer.plain and bool(self.is_byte.any())  # then nothing is unknown
+        self.decimals = [b"%d" % i for i in range(n)]
+        self.decoded = [b.replace(SPACE.encode(), b" ") for b in self.bytes]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(r[0] for r in self.records(text or "")))
+        return self.sp.encode(text) if text else []
+
+    def digest(self, text: str | None) -> tuple[int, str, str, int]:
+        """Tokens, SHA-256 of their ids and of the decoded text, and the bytes of the source that their spans cover."""
+        text = text or ""
+        ids = self.encode(text)
+        if self.plain:
+            decoded = b"".join([self.decoded[i] for i in ids])[1:]  # without the dummy prefix
+            covered = len(decoded) + 2 * text.count(SPACE)
+        else:
+            decoded, covered = self.sp.decode(ids).encode(), max((end for *_, end in self.spans(text)), default=0)
+        return len(ids), hashlib.sha256(b",".join([self.decimals[i] for i in ids])).hexdigest(), hashlib.sha256(decoded).hexdigest(), covered
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, begin, end) of each piece; begin and end are bytes of the source text in UTF-8."""
@@ -202,19 +174,8 @@ def encode_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     @pandas_udf(DIGEST)
     def digests(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(model or default_model()), []
-        for t in texts:
-            found = c.records(t or "")
-            decoded = b"".join([r[2] for r in found])
-            if c.chunked:
-                decoded = decoded[1:]  # the dummy prefix
-                covered = len(decoded) + 2 * t.count(SPACE) if t else 0
-            else:
-                covered = max((end for *_, end in c.spans(t)), default=0)
-            rows.append(
-                (sum([len(r[0]) for r in found]), hashlib.sha256(b",".join([r[1] for r in found])).hexdigest(), hashlib.sha256(decoded).hexdigest(), covered)
-            )
-        return pd.DataFrame(rows, columns=DIGEST.names)
+        c = codec(model or default_model())
+        return pd.DataFrame([c.digest(t) for t in texts], columns=DIGEST.names)
 
     return docs.select("doc_id", digests("text").alias("d")).select("doc_id", "d.*")
 

@@ -24,7 +24,7 @@ def randomly():
 
 
 def test_ids_equal_the_library(c):
-    assert c.chunked
+    assert c.plain
     sp = spm.SentencePieceProcessor(model_file=P.default_model())
     for t in TEXTS + randomly():
         assert c.encode(t) == sp.encode(t), t
