@@ -14,9 +14,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import Workspace, bounded_broadcast, table, text_of
 
 #: Bytes of a repeated string, and of the gram whose hash makes an anchor.
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 128
 #: Anchors that occur more often than this are counted by window instead of sorted together.
-HOT = 500
+HOT = 2000
 #: Suffixes that a task sorts at once, and window starts of a text that are searched at once.
 CHUNK, STRETCH = 20_000, 1_000_000
 _A, _B = np.array([0x9E3779B97F4A7C15], np.uint64), np.array([0xD6E8FEB86659FD93], np.uint64)
