@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -98,12 +97,22 @@ class Normalizer:
                 del align[-len(self.space) :]
         return bytes(out), [*align, at]
 
+    def aligned(self, text: str) -> tuple[bytes, np.ndarray]:
+        """What a call returns, with the alignment as an array; a plain normaliser aligns all bytes at once."""
+        if not self.plain or not text:
+            out, align = self(text)
+            return out, np.array(align)
+        data, n = text.encode(), len(self.space)
+        source = np.frombuffer(data, np.uint8)
+        align = np.repeat(np.arange(len(source)), np.where(source == 32, n, 1))
+        return self.space + data.replace(b" ", self.space), np.concatenate((np.zeros(n, align.dtype), align, [len(source)]))
+
 
 class PieceCodec:
     """Encodes and decodes exactly as the library does with the model, and gives each piece its bytes of the source.
 
     The library segments; normalisation with its alignment, spans and digests are made here. Where the model's
-    normaliser only marks spaces (`plain`), the alignment is the running length of the pieces.
+    normaliser only marks spaces (`plain`), each span is held against its piece besides.
     """
 
     def __init__(self, path: str):
@@ -131,19 +140,37 @@ class PieceCodec:
         """Tokens, SHA-256 of their ids and of the decoded text, and the bytes of the source that their spans cover."""
         text = text or ""
         ids = self.encode(text)
+        decoded = b"".join([self.decoded[i] for i in ids])[1:] if self.plain else self.sp.decode(ids).encode()  # without the dummy prefix
+        return len(ids), hashlib.sha256(b",".join([self.decimals[i] for i in ids])).hexdigest(), hashlib.sha256(decoded).hexdigest(), self.covered(text, ids)
+
+    def covered(self, text: str, ids: list[int]) -> int:
+        """Bytes of the source in the spans of its ids; where only spaces change, a span counts if its bytes are its piece's."""
+        if not ids:
+            return 0
+        normal, align = self.normalizer.aligned(text)
+        ends = self._ends(ids)
+        widths = np.diff(align[ends])
         if self.plain:
-            decoded = b"".join([self.decoded[i] for i in ids])[1:]  # without the dummy prefix
-            covered = len(decoded) + 2 * text.count(SPACE)
-        else:
-            decoded, covered = self.sp.decode(ids).encode(), max((end for *_, end in self.spans(text)), default=0)
-        return len(ids), hashlib.sha256(b",".join([self.decimals[i] for i in ids])).hexdigest(), hashlib.sha256(decoded).hexdigest(), covered
+            pieces = b"".join([self.bytes[i] for i in ids])
+            if pieces != normal:
+                raise ValueError("the pieces aren't the normalised text")
+            prefix = len(self.normalizer.space)
+            source, made = np.frombuffer(text.encode(), np.uint8)[align[prefix:-1]], np.frombuffer(pieces, np.uint8)[prefix:]
+            wrong = np.flatnonzero((source != made) & (source != 32))
+            widths[np.searchsorted(ends, wrong + prefix, "right") - 1] = 0
+        return int(widths.sum())
+
+    def _ends(self, ids: list[int]) -> np.ndarray:
+        """Where the pieces begin in the normalised text, and where the last one ends."""
+        return np.concatenate(([0], np.cumsum(self.lengths[ids])))
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, begin, end) of each piece; begin and end are bytes of the source text in UTF-8."""
         ids = self.encode(text)
-        _, align = self.normalizer(text or "")
-        ends = list(accumulate(self.lengths[ids].tolist(), initial=0))
-        return [(i, align[a], align[b]) for i, a, b in zip(ids, ends, ends[1:])]
+        if not ids:
+            return []
+        at = self.normalizer.aligned(text)[1][self._ends(ids)].tolist()
+        return list(zip(ids, at, at[1:]))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)

@@ -71,3 +71,27 @@ def test_digests(spark, c):
     spans = P.encode_spans(spark.createDataFrame(rows[:5], "doc_id long, text string")).collect()
     assert [[tuple(p) for p in r.pieces] for r in spans] == [c.spans(t) for _, t in rows[:5]]
     assert P.encode_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_alignment_of_all_bytes_equals_the_stepwise_one(c):
+    for t in TEXTS + randomly():
+        out, align = c.normalizer.aligned(t)
+        assert (out, align.tolist()) == c.normalizer(t), t
+
+
+@pytest.mark.parametrize("change", [lambda a: [*a[:-1], a[-1] - 1], lambda a: [*a[:8], *[x - 1 for x in a[8:12]], *a[12:]]])
+def test_covered_bytes_come_from_the_alignment(change):
+    c, t = P.PieceCodec(P.default_model()), "héllo wörld and more"
+    assert c.digest(t)[3] == len(t.encode())
+
+    class Wrong(P.Normalizer):
+        def __call__(self, text):
+            out, align = super().__call__(text)
+            return out, change(align)
+
+        def aligned(self, text):
+            out, align = self(text)
+            return out, P.np.array(align)
+
+    c.normalizer.__class__ = Wrong
+    assert c.digest(t)[3] < len(t.encode())
