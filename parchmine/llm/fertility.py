@@ -46,9 +46,10 @@ SCRIPT_BANDS = {
     "Han": (0.3, 2.0, 0.80, 3.5),
 }
 ANY_BAND = (0.25, 8.0, 1.0, 3.0)
-#: A language with LEAST_DOCS documents that pass the base rules has a band of its own besides, for characters per
-#: token: its median and WIDTH robust standard deviations, wider for short texts, whose figures scatter more.
-LEAST_DOCS, WIDTH, SHORT = 200, 4.5, 300
+#: Each language has a band of its own besides, for characters per token, over its distinct texts that pass the base
+#: rules: its median and WIDTH robust standard deviations, LEAST_REACH of the median at least. It is wider by LEAST_DOCS
+#: over the number of texts, and for short texts, whose figures scatter more.
+LEAST_DOCS, WIDTH, SHORT, LEAST_REACH = 200, 4.5, 300, 0.08
 
 MEASURES = StructType(
     [StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -128,23 +129,25 @@ def measured(docs: DataFrame, model: str | None = None) -> DataFrame:
         c = codec(model or default_model())
         return pd.DataFrame([measure(t or "", c) for t in texts], columns=MEASURES.names)
 
-    return docs.withColumn("quality_rules", measures("text"))
+    return docs.withColumn("quality_rules", measures("text").withField("text_hash", F.xxhash64("text")))
 
 
 def language_bands(rows: DataFrame) -> DataFrame:
-    """lang, low, high, deviation of characters per token over all measured rows that pass the base rules."""
+    """lang, middle and reach of characters per token over the distinct texts that pass the base rules and fit their script."""
     q = F.col("quality_rules")
     use = rows.where(~q.base_failed & q.in_script_band & F.col("lang").isNotNull())
-    stats = use.groupBy("lang").agg(F.percentile_approx(q.chars_per_token, [0.25, 0.5, 0.75], 10_000).alias("p"), F.count("*").alias("n"))
-    return stats.where(F.col("n") >= LEAST_DOCS).select("lang", F.col("p")[1].alias("middle"), (WIDTH * (F.col("p")[2] - F.col("p")[0]) / 1.349).alias("reach"))
+    texts = use.groupBy("lang", q.text_hash.alias("text_hash")).agg(F.min(q.chars_per_token).alias("x"))
+    stats = texts.groupBy("lang").agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000).alias("p"), F.count("*").alias("n"))
+    reach = F.greatest(WIDTH * (F.col("p")[2] - F.col("p")[0]) / 1.349, LEAST_REACH * F.col("p")[1]) * (1 + LEAST_DOCS / F.col("n"))
+    return stats.select("lang", F.col("p")[1].alias("middle"), reach.alias("reach"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """rows, as measured() returns them and read from a written table, with the verdict `quality_kept` besides.
 
-    A null or empty text has counts of zero, null fertility and fails. A null lang, or one with few documents, has no
-    band of its own; its texts are held against their script's band, and texts without letters of a known script
-    against a wide one. Repeated rows get equal verdicts.
+    A null or empty text has counts of zero, null fertility and fails. A null lang has no band of its own; its texts
+    are held against their script's band, and texts without letters of a known script against a wide one. Repeated
+    rows get equal verdicts, and copies don't move a band.
     """
     bands = language_bands(rows)
     few = bounded_broadcast(bands, rows.select("lang").distinct().count())

@@ -52,3 +52,31 @@ def test_language_band(spark, monkeypatch):
     got = {r.doc_id: r.quality_kept for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [i for i, kept in got.items() if not kept] == [900, 901]
     assert Q.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+WORDS = "people water little number sound place years live back give most very after thing name good sentence great think help through much before line right mean same tell follow came want show also around form three small".split()
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_copies_do_not_shrink_the_band(spark, distinct):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(300)), "en") for i in range(100)]
+    per_token = lambda t: Q.fertility(t, codec(default_model()))[1]
+    middle = sorted((t for _, t, _ in rows), key=per_token)[50]
+    for i in range(150):
+        words = middle.split(" ")
+        if distinct:
+            rng.shuffle(words)
+        rows.append((1000 + i, " ".join(words), "en"))
+    got = Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("quality_kept").count()
+    assert got == len(rows)
+
+
+def test_band_narrows_with_the_count(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(WORDS) for _ in range(100)), f"l{n}") for n in (1, 20, 199, 200, 800) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = {r.lang: r.reach / r.middle for r in Q.language_bands(Q.measured(docs)).collect()}
+    reach = [got[f"l{n}"] for n in (1, 20, 199, 200, 800)]
+    assert reach[0] > reach[1] > reach[3] > reach[4] >= Q.LEAST_REACH
+    assert reach[0] > 5 and reach[2] == pytest.approx(reach[3], rel=0.3)
