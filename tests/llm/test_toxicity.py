@@ -63,3 +63,23 @@ def test_without_labels(spark):
     m = T.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert T.toxicity_scores(docs, m).first().predicted == 0
     assert T.toxicity_scores(docs.limit(0), m).count() == 0
+
+
+def test_train_equals_fitting_in_memory(corpus):
+    docs, labels, truth = corpus
+    held = {r.doc_id for r in docs.where(T.held_out()).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in truth and r.doc_id not in held}
+    ids = sorted(texts)
+    want = T.fit([T.features(texts[i]) for i in ids], [T.features(T.swap(texts[i])) for i in ids], np.array([truth[i] for i in ids]))
+    got = T.train(docs, labels)
+    assert got.bias == pytest.approx(want.bias, abs=1e-6)
+    assert {k: pytest.approx(v, abs=1e-6) for k, v in want.weights.items()} == got.weights
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark):
+    rows = [(i, "bad " * 50_000 if i % 2 else "good " * 50_000, i % 2) for i in range(1, 30)] * 2 + [(3, "zzz", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    got = T.toxicity_scores(docs, T.train(docs, labels)).collect()
+    assert len(got) == len(rows)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.score != pytest.approx(T.toxicity_scores(docs.where("text = 'zzz'"), T.train(docs, labels)).first().score))
