@@ -80,6 +80,6 @@ def test_repeated_ids_long_texts_and_clashing_columns(spark):
     rows = [(i, "bad " * 50_000 if i % 2 else "good " * 50_000, i % 2) for i in range(1, 30)] * 2 + [(3, "zzz", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
-    got = T.toxicity_scores(docs, T.train(docs, labels)).collect()
+    got = [(t, r.predicted) for (_, t, _), r in zip(rows, T.toxicity_scores(docs, T.train(docs, labels)).collect())]
     assert len(got) == len(rows)
-    assert all(r.predicted == r.doc_id % 2 for r in got if r.score != pytest.approx(T.toxicity_scores(docs.where("text = 'zzz'"), T.train(docs, labels)).first().score))
+    assert all(p == t.startswith("bad") for t, p in got if t != "zzz")
