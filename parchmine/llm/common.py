@@ -54,6 +54,23 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: A key is heavy if it has more than this share of all rows, so that at most HEAVY keys are.
+HEAVY = 1_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The inner join of left with right, whose keys are unique and whose `weight` is the number of left's rows by key.
+
+    Keys with more than a thousandth of all rows are a thousand at most, whatever the size of the data: they are
+    broadcast, and left's rows of them stay where they are. All others are merged after a shuffle, in which no key
+    has more than that share. Both sides should be written tables, as each is read twice.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(weight) > F.lit(total / HEAVY)))
+    light = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return light.join(right.where(F.col(weight) <= F.lit(total / HEAVY)).hint("merge"), keys).unionByName(left.join(hot, keys))
+
+
 def bounded_broadcast(small: DataFrame, rows: int, max_rows: int = 200_000) -> DataFrame:
     """Marks small for broadcast if its counted rows are below the bound; otherwise Spark chooses, and shuffles."""
     return F.broadcast(small) if rows <= max_rows else small

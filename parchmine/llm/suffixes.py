@@ -6,17 +6,18 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Workspace, bounded_broadcast, table, text_of
+from .common import Workspace, skew_join, table, text_of
 
 #: Bytes of a repeated string, and of the gram whose hash makes an anchor.
 LENGTH, GRAM = 400, 128
-#: Anchors that occur more often than this are counted by window instead of sorted together.
-HOT = 2000
+#: Groups of more different contexts than this are cut by cells of so many window starts, and again while they are as large.
+HOT, WIDTHS = 2000, (39, 6, 1)
 #: Suffixes that a task sorts at once, and window starts of a text that are searched at once.
 CHUNK, STRETCH = 20_000, 1_000_000
 _A, _B = np.array([0x9E3779B97F4A7C15], np.uint64), np.array([0xD6E8FEB86659FD93], np.uint64)
@@ -123,30 +124,75 @@ def _runs(owner: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _anchor_rows(batches):
+    """For each anchor: k, the first window's start, the anchor's place in the context, the context's size, the gram's hash, and two hashes of the context and place."""
     for batch in batches:
-        rows = [(k, *a) for k, t in zip(batch["k"], batch["text"]) for a in anchors((t or "").encode())]
-        yield pd.DataFrame(rows, columns=["k", "place", "first", "last", "h"], dtype="int64")
+        for at in range(0, len(batch), 64):
+            rows, digests = [], []
+            for k, text in zip(batch["k"].iloc[at : at + 64], batch["text"].iloc[at : at + 64]):
+                data = memoryview((text or "").encode())
+                for place, first, last, h in anchors(data):
+                    rows.append((k, first, place - first, last + LENGTH - first, h))
+                    digests.append(xxhash.xxh3_128_digest(data[first : last + LENGTH], place - first))
+            out = pd.DataFrame(rows, columns=["k", "first", "place", "size", "g"])
+            yield out.assign(**_pair(digests))
+
+
+def _pair(digests: list[bytes]) -> dict[str, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return {"c1": both[:, 0], "c2": both[:, 1]}
 
 
 def _contexts(batches):
-    """The bytes of each run of windows: k, h, hot, place (in the context), first, context."""
+    """The bytes of each run of windows: k, g, hot, place (in the context), first, context. Repeated rows come next to each other and are read once."""
+    before = None
     for batch in batches:
         for at in range(0, len(batch), 64):
             rows = []
             for k, text, runs in zip(*(batch[c].iloc[at : at + 64] for c in ("k", "text", "runs"))):
-                data = (text or "").encode()
-                rows += [(k, r["h"], r["hot"], r["place"] - r["first"], r["first"], data[r["first"] : r["last"] + LENGTH]) for r in runs]
-            yield pd.DataFrame(rows, columns=["k", "h", "hot", "place", "first", "context"])
+                if k != before:
+                    data, before = (text or "").encode(), k
+                    rows += [(k, r["g"], r["hot"], r["place"], r["first"], data[r["first"] : r["first"] + r["size"]]) for r in runs]
+            yield pd.DataFrame(rows, columns=["k", "g", "hot", "place", "first", "context"])
+
+
+def cells(place: int, context: bytes, width: int) -> list[tuple[int, int, int, int, bytes]]:
+    """A context cut by cells of the distance from a window's start to the anchor: (cell, start, end, place, core).
+
+    Windows of one cell have `core` in common, so windows that are equal lie in the same cell and have equal cores.
+    """
+    out, low = [], place - (len(context) - LENGTH)
+    for cell in range(low // width, place // width + 1):
+        near, far = max(low, cell * width), min(place, cell * width + width - 1)
+        core = context[place - cell * width : place - cell * width - width + 1 + LENGTH]
+        out.append((cell, place - far, place - near + LENGTH, far, core))
+    return out
+
+
+def _split(width: int):
+    def split(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                rows, digests = [], []
+                for k, g, place, first, context in zip(*(batch[c].iloc[at : at + 500] for c in ("k", "g", "place", "first", "context"))):
+                    context = bytes(context)
+                    for cell, start, end, there, core in cells(place, context, width):
+                        part = context[start:end]
+                        group = xxhash.xxh3_64_intdigest(core, (g + cell) & 0xFFFFFFFFFFFFFFFF)
+                        rows.append((k, first + start, there, len(part), group - (1 << 64) if group >> 63 else group, part))
+                        digests.append(xxhash.xxh3_128_digest(part, there))
+                yield pd.DataFrame(rows, columns=["k", "first", "place", "size", "g", "context"]).assign(**_pair(digests))
+
+    return split
 
 
 def _sorted_groups(batches):
     """Repeats among the contexts of a task, which come sorted by anchor, a bounded number of groups at a time."""
 
     def repeats(df: pd.DataFrame) -> pd.DataFrame:
-        group = np.unique(df["h"].to_numpy(), return_inverse=True)[1]
+        group = np.unique(df["g"].to_numpy(), return_inverse=True)[1]
         found = induced_repeats(group, df["context"].tolist(), df["place"].to_numpy())
         k, first = df["k"].to_numpy(), df["first"].to_numpy()
-        return pd.DataFrame([(k[i], first[i] + a, first[i] + b + LENGTH) for i, a, b in found], columns=["k", "start", "end"], dtype="int64")
+        return pd.DataFrame([(k[i], first[i] + a, first[i] + b + LENGTH) for i, a, b in found], columns=["k", "start", "end"]).astype({"start": "int64", "end": "int64"})
 
     held = None
     for batch in batches:
@@ -154,8 +200,8 @@ def _sorted_groups(batches):
             part = batch.iloc[at : at + CHUNK]
             held = part if held is None or not len(held) else pd.concat([held, part])
             if len(held) >= CHUNK:
-                h = held["h"].to_numpy()
-                whole = h != h[-1]  # the last group may go on
+                g = held["g"].to_numpy()
+                whole = g != g[-1]  # the last group may go on
                 if whole.any():
                     yield repeats(held[whole])
                     held = held[~whole]
@@ -163,63 +209,59 @@ def _sorted_groups(batches):
         yield repeats(held)
 
 
-def _windows(batches):
-    """Two hashes of each window of each context, by which equal windows of frequent anchors are counted."""
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.iloc[at : at + 500]
-            size = part["context"].map(len).to_numpy()
-            n = size - LENGTH + 1
-            flat = np.frombuffer(b"".join(part["context"]), np.uint8)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = step + np.repeat(np.cumsum(size) - size, n)
-            w1, w2 = (gram_hashes(flat, LENGTH, b)[place].view(np.int64) for b in (_A, _B))
-            yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), n), "start": np.repeat(part["first"].to_numpy(), n) + step, "w1": w1, "w2": w2})
+def _key() -> Column:
+    """128 bits that tell a row by its id and text."""
+    name = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
+    return F.unhex(F.md5(F.concat(name, F.lit("\0"), text_of())))
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _alike(work: Workspace, found: DataFrame, hot: int, drop: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of the contexts found (k, first, place, size, g, c1, c2, ...): the spans of those that are equal throughout to
+    another, and one context of each kind in groups that have several, marked hot if they have more than `hot`.
+    """
+    names = [c for c in found.columns if c not in ("c1", "c2")]
+    often = work.write(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    hits = work.write(skew_join(found, often, ["g"], "n").drop("n"))
+    if drop:
+        work.drop(found)
+    mark = F.xxhash64("k", "first")  # of equal contexts the one with the least mark stands for all
+    kinds = work.write(hits.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(mark).alias("least")))
+    groups = work.write(kinds.groupBy("g").agg(F.count("*").alias("m")))
+    kinds = work.write(skew_join(kinds, groups, ["g"], "m").select(F.col("g").alias("kind_g"), "c1", "c2", "n", "least", "m"))
+    told = skew_join(hits, kinds, ["c1", "c2"], "n").where("g = kind_g").withColumn("alone", (F.col("m") > 1) & (mark == F.col("least")))
+    told = work.write(told.where("n > 1 or alone").select(*names, "n", "alone", (F.col("m") > hot).alias("hot")))
+    for used in (often, hits, groups, kinds):
+        work.drop(used)
+    return told.where("n > 1").select("k", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end")), told.where("alone").drop("n", "alone")
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """k (hash of doc_id and text) and spans, sorted and apart: the bytes covered by strings that also start elsewhere."""
+    """k (see _key) and spans (start, end), not yet united: the bytes covered by strings that also start elsewhere."""
     work = Workspace(docs.sparkSession, "suffixes")
-    docs = docs.select("doc_id", text_of().alias("text"))
-    prints = work.write(docs.select("doc_id", _key().alias("k"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= LENGTH))
-    copied = work.write(prints.groupBy("t1", "t2").agg(F.count("*").alias("c"), F.min("k").alias("rep")).where("c > 1").drop("c"))
-    copies = work.write(prints.join(copied, ["t1", "t2"]).select("k", "n", (F.col("k") == F.col("rep")).alias("is_rep")))
-    extra = copies.where("not is_rep").select("k").distinct()
-    once = docs.withColumn("k", _key()).where(F.octet_length("text") >= LENGTH).join(bounded_broadcast(extra, extra.count(), 1_000_000), "k", "left_anti")
-
-    found = work.write(once.select("k", "text").mapInPandas(_anchor_rows, "k long, place long, first long, last long, h long"))
-    often = work.write(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot")))
-    runs = found.join(often, "h").groupBy("k").agg(F.collect_list(F.struct("place", "first", "last", "h", "hot")).alias("runs"))
-    runs = work.write(runs)  # of one document each
-    texts = once.select("k", "text").join(runs, "k").mapInPandas(_contexts, "k long, h long, hot boolean, place long, first long, context binary")
-    contexts = work.write(texts.withColumn("c1", F.xxhash64("h", "place", "context")).withColumn("c2", F.xxhash64("place", "context")))
-
-    # contexts that are equal throughout are repeated throughout; one of them stands for all
-    whole = work.write(contexts.groupBy("c1", "c2").agg(F.count("*").alias("c"), F.min(F.struct("k", "first")).alias("rep")).where("c > 1").drop("c"))
-    sized = contexts.select("k", "first", "c1", "c2", F.octet_length("context").cast("long").alias("size"))
-    equal = work.write(sized.join(whole, ["c1", "c2"]).select("k", "first", "size", ((F.col("k") == F.col("rep.k")) & (F.col("first") == F.col("rep.first"))).alias("is_rep")))
-    spare = equal.where("not is_rep").select("k", "first")
-    single = contexts.join(bounded_broadcast(spare, spare.count(), 1_000_000), ["k", "first"], "left_anti")
-
+    texts = docs.select(_key().alias("k"), text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
+    row = "k binary, first long, place int, size int, g long, c1 long, c2 long"
+    found = work.write(texts.mapInPandas(_anchor_rows, row))
+    equal, rest = _alike(work, found, hot)
+    spans = [equal]
+    runs = rest.groupBy("k").agg(F.collect_list(F.struct("g", "hot", "place", "first", "size")).alias("runs"))  # of one text each
+    contexts = work.write(texts.join(runs.hint("merge"), "k").mapInPandas(_contexts, "k binary, g long, hot boolean, place int, first long, context binary"))
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cold = single.where("not hot").select("k", "h", "place", "first", "context").repartition(n, "h").sortWithinPartitions("h")
-    sorted_out = cold.mapInPandas(_sorted_groups, "k long, start long, end long")
-    windows = single.where("hot").select("k", "first", "context").mapInPandas(_windows, "k long, start long, w1 long, w2 long")
-    many = work.write(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
-    counted = windows.join(bounded_broadcast(many, many.count(), 500_000), ["w1", "w2"], "left_semi").select("k", "start", (F.col("start") + LENGTH).alias("end"))
-    spans = work.write(
-        sorted_out.union(counted)
-        .union(equal.select("k", "first", F.col("first") + F.col("size")))
-        .union(copies.select("k", F.lit(0).cast("long"), "n"))
-    )
-    return spans.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    for width in (*WIDTHS, None):
+        cold = contexts.where("not hot").select("k", "g", "place", "first", "context").repartition(n, "g").sortWithinPartitions("g")
+        spans.append(work.write(cold.mapInPandas(_sorted_groups, "k binary, start long, end long")))
+        large = contexts.where("hot")
+        if width is None or not large.limit(1).count():
+            break
+        parts = work.write(large.mapInPandas(_split(width), row + ", context binary"))
+        equal, contexts = _alike(work, parts, hot)
+        spans.append(equal)
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.union(more)
+    return out.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-DIGEST = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())])
+DIGEST = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("n_kept", LongType()), StructField("kept_text", StringType())])
 
 
 def union_of(spans) -> list[tuple[int, int]]:
@@ -242,27 +284,28 @@ def kept_bytes(text: str | None, spans) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text, ...).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_text of every row of docs (doc_id, text, ...).
 
     Texts are bytes in UTF-8; a null text is empty. Texts under 400 bytes lose nothing. Repeated rows repeat each
-    other, so all of their bytes go; ids may be null.
+    other, so all of their bytes go; ids may be null. Other columns aren't read, whatever their names. kept_text is
+    the remaining bytes as text, with U+FFFD where a cut has left a part of a character; the digest is of the bytes.
     """
     spans = Workspace(docs.sparkSession, "spans").write(repeated_spans(docs, hot))
-    size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    few = F.broadcast(spans) if size[0] + size[1] <= 1_000_000 else spans
 
     @pandas_udf(DIGEST)
     def digests(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s in zip(texts, spans):
             joined = union_of([(x["start"], x["end"]) for x in s]) if s is not None else []
-            rows.append((sum(b - a for a, b in joined), len(joined), hashlib.sha256(kept_bytes(t, joined)).hexdigest()))
+            kept = kept_bytes(t, joined)
+            rows.append((sum(b - a for a, b in joined), len(joined), hashlib.sha256(kept).hexdigest(), len(kept), kept.decode(errors="replace") if joined else t))
         return pd.DataFrame(rows, columns=DIGEST.names)
 
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("k", _key()).join(few, "k", "left")
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("k", _key()).join(spans.hint("merge"), "k", "left")
     out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digests("text", "spans").alias("d"))
     return out.select("doc_id", "n_bytes", "d.*")
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() over all documents."""
     return remove_repeats(table(spark, sf_dir, "documents"))

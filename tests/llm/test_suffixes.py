@@ -18,7 +18,7 @@ def brute(texts):
             if n[d[i : i + S.LENGTH]] > 1:
                 gone[i : i + S.LENGTH] = True
         kept = bytes(b for b, g in zip(d, gone) if not g)
-        out.append((len(d), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(d), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), len(kept), kept.decode(errors="replace")))
     return out
 
 
@@ -39,7 +39,7 @@ def texts(seed):
     return out + [out[15], out[15], out[16] + "!", say(5000) + shared[6] * 2]
 
 
-@pytest.mark.parametrize("hot,chunk", [(1, 20_000), (500, 7), (500, 20_000)])
+@pytest.mark.parametrize("hot,chunk", [(1, 20_000), (3, 7), (500, 20_000)])
 def test_repeats_match_brute_force(spark, monkeypatch, hot, chunk):
     monkeypatch.setattr(S, "CHUNK", chunk)
     rows = texts(hot + chunk)
@@ -66,3 +66,27 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t[:399])], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in S.remove_repeats(df).collect()) == [(0, 450, 1), (1, 450, 1), (1, 450, 1), (2, 0, 0)]
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_cells_hold_each_window_once():
+    rng = random.Random(2)
+    for _ in range(50):
+        size, place = rng.randrange(400, 673), None
+        place = rng.randrange(size - 400, min(273, size))
+        context = bytes(rng.randrange(256) for _ in range(size))
+        for width in S.WIDTHS:
+            starts = []
+            for cell, start, end, there, core in S.cells(place, context, width):
+                assert len(core) == 401 - width and core in context[start:end] and start + there == place
+                for s in range(start, end - 399):
+                    starts.append(s)
+                    assert (place - s) // width == cell and core in context[s : s + 400]
+            assert sorted(starts) == list(range(size - 399))
+
+
+def test_repeated_rows_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long, "x"), (2, long[1000:2000] + "é", "y"), (3, "z" * 450, "z")] + [(4, "w" * 100, "w")] * 3
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, k string"), 2).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_kept) for r in got) == [(1, 1000, 299_000), (2, 1000, 2), (3, 450, 0), (4, 0, 100), (4, 0, 100), (4, 0, 100)]
