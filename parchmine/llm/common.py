@@ -54,6 +54,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key() -> Column:
+    """128 bits that tell a row by its doc_id and text; rows that repeat both share it."""
+    name = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
+    return F.unhex(F.md5(F.concat(name, F.lit("\0"), text_of())))
+
+
 #: A key is heavy if it has more than this share of all rows, so that at most HEAVY keys are.
 HEAVY = 1_000
 

@@ -5,19 +5,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
-from .common import Workspace, bounded_broadcast, table, text_of
+from .common import HEAVY, Workspace, row_key, skew_join, table, text_of
 from .components import connected_components
 
 #: Characters of a shingle, rows of a band, bands, and the least Jaccard similarity of linked lines. A pair at the
-#: threshold shares a band with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
-SHINGLE, ROWS, BANDS, THRESHOLD = 9, 4, 12, 0.8
-#: Lines of a bucket that one group of the second round compares with as many others.
-BLOCK = 1000
+#: threshold shares a band with probability 1 - (1 - 0.8 ** 3) ** 9 = 0.998.
+SHINGLE, ROWS, BANDS, THRESHOLD = 9, 3, 9, 0.8
+#: Lines of a bucket that one group of the second round compares with as many others, and lines that it takes at once.
+BLOCK, CHUNK = 1000, 4000
+#: Lines of a group up to which pairs are compared one by one, not by posting lists.
+FEW = 24
 SPACES = " \t\n\v\f\r"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -28,23 +30,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each place of the joined lines, of the shingle that starts there, and the lengths of the lines.
+
+    Every line has SHINGLE or more characters; at the last SHINGLE - 1 places of each the hash is the largest number.
+    """
+    joined = "".join(lines)
+    points = np.frombuffer(joined.encode("latin-1" if joined.isascii() else "utf-32-le"), np.uint8 if joined.isascii() else np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    h, power, done = points, _MIX[:1], 1
+    while done * 2 <= SHINGLE:  # h: hashes of `done` characters
+        h = h[:-done] * power + h[done:]
+        power, done = power * power, done * 2
+    for i in range(done, SHINGLE):
+        h = h[:-1] * _MIX[0] + points[i:]
+    out = np.empty(len(points), np.uint64)
+    out[: len(h)] = _mix(h)
+    out[(np.cumsum(lengths)[:, None] - np.arange(1, SHINGLE)).ravel()] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return out, lengths
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys of one-permutation MinHash signatures of character shingles; every line has SHINGLE or more characters."""
     k = ROWS * BANDS
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    lengths = np.array([len(x) for x in lines])
-    starts = np.cumsum(lengths) - lengths
-    hashes = np.zeros(len(points) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
-        hashes = hashes * _MIX[0] + points[i : i + len(hashes)]
-    hashes = _mix(hashes)
-    windows = lengths - SHINGLE + 1
-    line = np.repeat(np.arange(len(lines)), windows)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)
-    h = hashes[at]
+    h, lengths = shingle_hashes(lines)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(len(lines) * k, empty)
-    np.minimum.at(sig, line * k + (h % np.uint64(k)).astype(np.int64), h // np.uint64(k))
+    slot = ((h >> np.uint64(40)) * np.uint64(k) >> np.uint64(24)).astype(np.int64) + np.repeat(np.arange(len(lines)) * k, lengths)
+    np.minimum.at(sig, slot, h)
     sig = sig.reshape(-1, k)
     full, need = sig != empty, sig == empty
     rng = np.random.default_rng(7)
@@ -59,6 +72,18 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
+def hash_sets(lines: list[str]) -> list[set[int]]:
+    """The hashes of each line's shingles: as many are shared as shingles are, or more if hashes collide."""
+    h, lengths = shingle_hashes(lines)
+    ends = np.cumsum(lengths)
+    return [set(h[a:b].tolist()) for a, b in zip((ends - lengths).tolist(), (ends - SHINGLE + 1).tolist())]
+
+
+def may_be_similar(x: set, y: set) -> bool:
+    both = len(x & y) if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)) else 0
+    return both >= THRESHOLD * (len(x) + len(y) - both)
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -72,29 +97,36 @@ def similar(a: str, b: str) -> bool:
     return both >= THRESHOLD * (len(x) + len(y) - both)
 
 
-def similar_across(lines: list[str], part: np.ndarray, block: np.ndarray, own: bool) -> list[tuple[int, int]]:
+def similar_across(lines: list[str], sets: list[set[int]], part: np.ndarray, block: np.ndarray, own: bool) -> list[tuple[int, int]]:
     """Pairs of similar lines that join all parts which similar pairs of different parts join.
 
-    With own, pairs lie in one block, else in two. Each line outside the largest part is held against all others at
-    once: the lines that have each of its shingles are counted.
+    With own, pairs lie in one block, else in two. Each line outside the largest part is held against all others: one
+    by one if they are few, else at once, by counting the lines that have each of its shingles. sets are hash_sets() of
+    the lines; pairs that pass on hashes are compared exactly.
     """
-    sets = [shingles(x) for x in lines]
-    size = np.array([len(s) for s in sets])
-    number: dict[str, int] = {}
-    ids = np.array([number.setdefault(s, len(number)) for x in sets for s in x])
-    owner = np.repeat(np.arange(len(lines)), size)
-    by = np.argsort(ids, kind="stable")
-    holders, first = owner[by], np.searchsorted(ids[by], np.arange(len(number) + 1))
-    parts, root, counts = np.unique(part, return_inverse=True, return_counts=True)
-    largest, at, out = counts.argmax(), np.cumsum(size) - size, []
-    label = root.copy()
+    root, counts = np.unique(part, return_inverse=True, return_counts=True)[1:]
+    if len(counts) < 2:
+        return []
+    largest, label, out = counts.argmax(), root.copy(), []
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    few = len(lines) <= FEW
+    if not few:
+        values = np.fromiter((h for s in sets for h in s), np.uint64, size.sum())
+        ids = np.unique(values, return_inverse=True)[1]
+        by = np.argsort(ids, kind="stable")
+        holders, first = np.repeat(np.arange(len(lines)), size)[by], np.searchsorted(ids[by], np.arange(ids.max() + 2))
+        at = np.cumsum(size) - size
     for i in np.flatnonzero(root != largest).tolist():
-        mine = ids[at[i] : at[i] + size[i]]
-        both = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine]), minlength=len(lines))
-        near = (both >= THRESHOLD * (size + size[i] - both)) & (label != label[i])
-        near &= (block == block[i]) if own else (block != block[i])
-        for j in np.flatnonzero(near).tolist():
-            if label[i] != label[j]:
+        may = (label != label[i]) & ((block == block[i]) if own else (block != block[i]))
+        may &= (np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])) & ((root == largest) | (np.arange(len(lines)) > i))
+        if few:
+            near = [j for j in np.flatnonzero(may).tolist() if may_be_similar(sets[i], sets[j])]
+        else:
+            mine = ids[at[i] : at[i] + size[i]]
+            both = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine]), minlength=len(lines))
+            near = np.flatnonzero(may & (both >= THRESHOLD * (size + size[i] - both))).tolist()
+        for j in near:
+            if label[i] != label[j] and similar(lines[i], lines[j]):
                 out.append((i, j))
                 label[label == label[j]] = label[i]
     return out
@@ -104,9 +136,9 @@ def _bands(batches):
     """Band keys and line hashes of a task's texts; a line that the task has met lately is left out."""
     seen: set[int] = set()
     for batch in batches:
-        for at in range(0, len(batch), 256):
+        for at in range(0, len(batch), 64):
             new: dict[int, str] = {}
-            for text in batch["text"].iloc[at : at + 256]:
+            for text in batch["text"].iloc[at : at + 64]:
                 for line in (text or "").split("\n"):
                     line = line.strip(SPACES)
                     if len(line) >= SHINGLE:
@@ -121,72 +153,123 @@ def _bands(batches):
                 seen.clear()
 
 
-def _lines(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, k (hash of the row's id and text), pos and the trimmed line, for lines with a word."""
-    spaces = F.lit(SPACES)
-    line = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
-    return line.select("doc_id", "k", "pos", F.btrim("line", spaces).alias("line")).where("line != ''")
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, k (see row_key), pos and the trimmed line, for lines with a word."""
+    line = docs.select("doc_id", row_key().alias("k"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    return line.select("doc_id", "k", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).where("line != ''")
+
+
+_H1, _H2 = F.xxhash64, lambda line: F.xxhash64(F.lit(1), line)
 
 
 @pandas_udf(BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similar(x, y) for x, y in zip(a, b)], dtype="bool")
+    out = []
+    for at in range(0, len(a), 500):
+        x, y = a.iloc[at : at + 500].tolist(), b.iloc[at : at + 500].tolist()
+        sets = hash_sets(x + y)
+        out += [may_be_similar(p, q) and similar(i, j) for i, j, p, q in zip(x, y, sets, sets[len(x) :])]
+    return pd.Series(out, dtype="bool")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """k and dropped, the sorted positions of the lines that go, for each document (by its hash k) that loses any."""
+def _buckets(work: Workspace, docs: DataFrame) -> DataFrame:
+    """key, node, rep: the lines of each band's key that several different lines share, and the least of them.
+
+    Keys of many lines (some thousand at most, found by counting frequent items) stay where they are and are combined
+    before they are shuffled; all others are shuffled once.
+    """
+    keyed = work.write(docs.select("text").mapInPandas(_bands, "key long, node long"))
+    often = keyed.stat.freqItems(["key"], 1 / HEAVY).first()
+    heavy = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in (often[0] if often else None) or []], "key long"))
+    ends = [F.min("node").alias("rep"), F.max("node").alias("top")]
+    light = keyed.join(heavy, "key", "left_anti").repartition(_partitions(docs), "key")
+    stars = light.join(light.groupBy("key").agg(*ends).where("rep < top").hint("merge"), "key")
+    hot = keyed.join(heavy, "key")
+    stars = stars.unionByName(hot.join(F.broadcast(hot.groupBy("key").agg(*ends).where("rep < top")), "key"))
+    out = work.write(stars.select("key", "node", "rep").distinct())
+    work.drop(keyed)
+    return out
+
+
+def _partitions(docs: DataFrame) -> int:
     spark = docs.sparkSession
-    work = Workspace(spark, "lines")
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """k and dropped, the sorted positions of the lines that go, for each document (by its key k) that loses any."""
+    work = Workspace(docs.sparkSession, "lines")
     docs = docs.select("doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "pos")
-    lines = work.write(_lines(docs).select("doc_id", "k", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
+    lines = work.write(_lines(docs).select("doc_id", "k", "pos", _H1("line").alias("h1"), _H2("line").alias("h2")))
     heads = work.write(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
 
-    bucket = Window.partitionBy("key")
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.select("text").mapInPandas(_bands, "key long, node long").repartition(n, "key").distinct()
-    stars = work.write(
-        keyed.select("key", "node", F.min("node").over(bucket).alias("rep"), F.count("*").over(bucket).alias("size")).where("size > 1")
-    )
-    nodes = work.write(stars.select(F.col("node").alias("h1")).distinct())
-    few = bounded_broadcast(nodes, nodes.count(), 1_000_000)
-    texts = work.write(_lines(docs).select(F.xxhash64("line").alias("h1"), "line").join(few, "h1", "left_semi").dropDuplicates(["h1"]))
-    left, right = texts.select(F.col("h1").alias("a"), F.col("line").alias("ta")), texts.select(F.col("h1").alias("b"), F.col("line").alias("tb"))
-    pairs = stars.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    links = work.write(pairs.join(left, "a").join(right, "b").where(_similar("ta", "tb")).select("a", "b"))
+    stars = _buckets(work, docs)
+    nodes = stars.select(F.col("node").alias("h1")).distinct()
+    # of two lines with one h1, which 64 bits can't exclude, the one with the lesser h2 takes part
+    texts = _lines(docs).select(_H1("line").alias("h1"), _H2("line").alias("h2"), "line").join(nodes.hint("merge"), "h1", "left_semi")
+    texts = work.write(texts.groupBy("h1").agg(F.min(F.struct("h2", "line")).alias("t")).select("h1", "t.h2", "t.line"))
+    pairs = work.write(stars.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
+    reps = work.write(pairs.groupBy("b").count().join(texts.select(F.col("h1").alias("b"), F.col("line").alias("tb")).hint("merge"), "b"))
+    sides = work.write(pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("ta")).hint("merge"), "a"))
+    links = work.write(skew_join(sides, reps, ["b"], "count").where(_similar("ta", "tb")).select("a", "b"))
+    work.drop(sides)
     parts = work.write(connected_components(work, links))
-    links = work.write(links.union(_rest(work, stars, bounded_broadcast(parts, parts.count(), 1_000_000), texts)))
+    links = work.write(links.union(_rest(work, stars, parts, texts)))
     parts = work.write(connected_components(work, links))
-    parts = bounded_broadcast(parts, parts.count(), 1_000_000)
-
-    near = heads.join(parts, heads.h1 == parts.node).select("h1", "component", "first")
-    firsts = work.write(near.groupBy("component").agg(F.min("first").alias("kept")))
-    kept = work.write(
-        heads.join(parts, heads.h1 == parts.node, "left").join(firsts, "component", "left").where("kept is not null or n > 1").select("h1", "h2", F.coalesce("kept", "first").alias("kept"))
-    )
-    gone = lines.join(bounded_broadcast(kept, kept.count(), 500_000), ["h1", "h2"]).where((F.col("k") != F.col("kept.k")) | (F.col("pos") != F.col("kept.pos")))
+
+    told = texts.select("h1", "h2").join(parts.select(F.col("node").alias("h1"), "component").hint("merge"), "h1")
+    all_heads = work.write(heads.join(told.hint("merge"), ["h1", "h2"], "left").where("component is not null or n > 1"))
+    near = all_heads.where("component is not null")
+    firsts = work.write(near.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("m")))
+    kept = skew_join(near, firsts, ["component"], "m").select("h1", "h2", "n", "kept")
+    kept = work.write(kept.union(all_heads.where("component is null").select("h1", "h2", "n", "first")))
+    gone = skew_join(lines, kept, ["h1", "h2"], "n").where((F.col("k") != F.col("kept.k")) | (F.col("pos") != F.col("kept.pos")))
     return gone.groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def _rest(work: Workspace, stars: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
     """Links in buckets of three or more lines that the comparison with the bucket's first line left apart.
 
-    Only lines of different components are compared, in groups of two blocks of a bucket's lines.
+    Only lines of different components are compared, in groups of two blocks of a bucket's lines. Of buckets with the
+    same lines one is taken.
     """
-    located = stars.where("size > 2").join(parts, stars.node == parts.node, "left").select("key", stars.node, F.coalesce("component", stars.node).alias("part"))
-    apart = located.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    apart = work.write(apart.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = work.write(located).join(apart, "key").withColumn("block", block)
+    located = work.write(stars.join(parts.hint("merge"), stars.node == parts.node, "left").select("key", stars.node, F.coalesce("component", stars.node).alias("part")))
+    print_ = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
+    apart = located.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), *print_).where("lo < hi and n > 2")
+    apart = apart.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"))
+    apart = work.write(apart.select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    dealt = skew_join(located, apart, ["key"], "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     groups = dealt.select("key", "node", "part", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), p -> struct(least(p, block) as x, greatest(p, block) as y))")).alias("g"))
-    groups = work.write(groups.select("key", "node", "part", "block", "g.x", "g.y")).join(texts.withColumnRenamed("h1", "node"), "node")
+    groups = groups.select("key", "node", "part", "block", "g.x", "g.y").join(texts.select(F.col("h1").alias("node"), "line").hint("merge"), "node")
+    by = ["key", "x", "y"]
+    groups = groups.repartition(_partitions(stars), *by).sortWithinPartitions(*by)
+    return groups.mapInPandas(_compare, "a long, b long")
 
-    def compare(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        pairs = similar_across(df["line"].tolist(), df["part"].to_numpy(), df["block"].to_numpy(), key[1] == key[2])
-        nodes = df["node"].tolist()
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
-    return groups.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
+def _compare(batches):
+    """similar_across() for each group of a task, which come sorted by group, a bounded number of lines at a time."""
+
+    def links(df: pd.DataFrame) -> pd.DataFrame:
+        key, x, y, nodes, part, block, lines = (df[c].to_numpy() for c in ("key", "x", "y", "node", "part", "block", "line"))
+        sets = hash_sets(lines.tolist())
+        new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        out = []
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(df)]):
+            out += [(nodes[a + i], nodes[a + j]) for i, j in similar_across(lines[a:b], sets[a:b], part[a:b], block[a:b], x[a] == y[a])]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    held = None
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            held = batch.iloc[at : at + CHUNK] if held is None else pd.concat([held, batch.iloc[at : at + CHUNK]])
+            ids = held[["key", "x", "y"]].to_numpy()
+            whole = (ids != ids[-1]).any(1)  # the last group may go on
+            if whole.any():
+                yield links(held[whole])
+                held = held[~whole]
+    if held is not None and len(held):
+        yield links(held)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -199,11 +282,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     last. Rows with equal doc_id and text count as one document and lose the same lines.
     """
     dropped = Workspace(docs.sparkSession, "dropped").write(dropped_lines(docs))
-    size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
-    dropped = bounded_broadcast(dropped, sum(size), 2_000_000)
-    key = F.xxhash64("doc_id", "text")
     clean = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), s -> not array_contains(_parchmine_dropped, s.i)), s -> s.x), '\\n')")
-    marked = docs.join(dropped.select(F.col("k").alias("_parchmine_k"), F.col("dropped").alias("_parchmine_dropped")), key == F.col("_parchmine_k"), "left")
+    dropped = dropped.select(F.col("k").alias("_parchmine_k"), F.col("dropped").alias("_parchmine_dropped"))
+    marked = docs.join(dropped.hint("merge"), row_key() == F.col("_parchmine_k"), "left")
     text = F.when(F.col("_parchmine_dropped").isNull(), F.col("text")).otherwise(clean)
     return marked.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
@@ -213,6 +294,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     dropped = Workspace(spark, "dropped").write(dropped_lines(docs))
     n = F.size(F.filter(F.split(text_of(), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), n.cast("long").alias("n_lines"))
+    rows = docs.select("doc_id", row_key().alias("k"), n.cast("long").alias("n_lines"))
     positions = F.coalesce("dropped", F.array().cast("array<int>"))
-    return rows.join(dropped, "k", "left").select("doc_id", "n_lines", F.size(positions).cast("long").alias("n_dropped"), positions.alias("dropped_lines"))
+    return rows.join(dropped.hint("merge"), "k", "left").select("doc_id", "n_lines", F.size(positions).cast("long").alias("n_dropped"), positions.alias("dropped_lines"))

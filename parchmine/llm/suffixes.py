@@ -7,12 +7,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Workspace, skew_join, table, text_of
+from .common import Workspace, row_key, skew_join, table, text_of
 
 #: Bytes of a repeated string, and of the gram whose hash makes an anchor.
 LENGTH, GRAM = 400, 128
@@ -209,12 +209,6 @@ def _sorted_groups(batches):
         yield repeats(held)
 
 
-def _key() -> Column:
-    """128 bits that tell a row by its id and text."""
-    name = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
-    return F.unhex(F.md5(F.concat(name, F.lit("\0"), text_of())))
-
-
 def _alike(work: Workspace, found: DataFrame, hot: int, drop: bool = True) -> tuple[DataFrame, DataFrame]:
     """Of the contexts found (k, first, place, size, g, c1, c2, ...): the spans of those that are equal throughout to
     another, and one context of each kind in groups that have several, marked hot if they have more than `hot`.
@@ -236,9 +230,9 @@ def _alike(work: Workspace, found: DataFrame, hot: int, drop: bool = True) -> tu
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """k (see _key) and spans (start, end), not yet united: the bytes covered by strings that also start elsewhere."""
+    """k (see row_key) and spans (start, end), not yet united: the bytes covered by strings that also start elsewhere."""
     work = Workspace(docs.sparkSession, "suffixes")
-    texts = docs.select(_key().alias("k"), text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
+    texts = docs.select(row_key().alias("k"), text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
     row = "k binary, first long, place int, size int, g long, c1 long, c2 long"
     found = work.write(texts.mapInPandas(_anchor_rows, row))
     equal, rest = _alike(work, found, hot)
@@ -301,7 +295,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             rows.append((sum(b - a for a, b in joined), len(joined), hashlib.sha256(kept).hexdigest(), len(kept), kept.decode(errors="replace") if joined else t))
         return pd.DataFrame(rows, columns=DIGEST.names)
 
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("k", _key()).join(spans.hint("merge"), "k", "left")
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("k", row_key()).join(spans.hint("merge"), "k", "left")
     out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digests("text", "spans").alias("d"))
     return out.select("doc_id", "n_bytes", "d.*")
 

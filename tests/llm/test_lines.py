@@ -62,7 +62,9 @@ def test_repeated_rows_and_empty_table(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_similar_across_matches_pairs():
+@pytest.mark.parametrize("few", [0, 100])
+def test_similar_across_matches_pairs(monkeypatch, few):
+    monkeypatch.setattr(L, "FEW", few)
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(4)]
     lines = []
@@ -79,4 +81,33 @@ def test_similar_across_matches_pairs():
                 label = [label[i] if x == label[j] else x for x in label]
             return [label.index(x) for x in label]
         brute = [(i, j) for i in range(60) for j in range(i) if (block[i] == block[j]) == own and L.similar(lines[i], lines[j])]
-        assert joined(L.similar_across(lines, part, block, own)) == joined(brute)
+        assert joined(L.similar_across(lines, L.hash_sets(lines), part, block, own)) == joined(brute)
+
+
+def test_recall_of_bands_at_the_threshold():
+    """Of pairs with a similarity of 0.80 to 0.84, at any length, 0.99 or more share a band."""
+    rng = random.Random(11)
+    for size in (30, 80, 200, 600, 3000):
+        near = []
+        while len(near) < 400:
+            a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+            b = list(a)
+            for _ in range(max(1, round(size * 0.011 * rng.random() + 0.3))):
+                b[rng.randrange(size if size > 60 else 8)] = "#"
+            x, y = L.shingles(a), L.shingles("".join(b))
+            if 0.8 <= len(x & y) / len(x | y) < 0.84:
+                near.append((a, "".join(b)))
+        ka, kb = (L.band_keys(list(side)) for side in zip(*near))
+        assert (ka == kb).any(1).mean() >= 0.99, size
+
+
+def test_queries_columns_match_brute_force(spark, tmp_path):
+    rows = corpus(5)
+    spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in L.op9_line_dedup(spark, str(tmp_path)).collect()}
+    wrong = 0
+    for (d, t), w in zip(rows, brute(rows)):
+        r, lines = got[d], (t or "").split("\n")
+        assert r.n_lines == sum(x.strip(L.SPACES) != "" for x in lines) and r.n_dropped == len(r.dropped_lines)
+        wrong += "\n".join(x for i, x in enumerate(lines) if i not in r.dropped_lines) != (w or "")
+    assert wrong <= 1
