@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,16 +75,52 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def hash_sets(lines: list[str]) -> list[set[int]]:
-    """The hashes of each line's shingles: as many are shared as shingles are, or more if hashes collide."""
-    h, lengths = shingle_hashes(lines)
-    ends = np.cumsum(lengths)
-    return [set(h[a:b].tolist()) for a, b in zip((ends - lengths).tolist(), (ends - SHINGLE + 1).tolist())]
-
-
-def may_be_similar(x: set, y: set) -> bool:
-    both = len(x & y) if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)) else 0
-    return both >= THRESHOLD * (len(x) + len(y) - both)
+class HashedLines:
+    """Lines with hashes of their shingles: as many are shared as shingles are, or more if hashes collide."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.hashes, lengths = shingle_hashes(lines) if lines else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.stop = np.cumsum(lengths)
+        self.start = (self.stop - lengths).tolist()
+        self.stop = (self.stop - SHINGLE + 1).tolist()
+        taken = np.flatnonzero(self.hashes < np.uint64(1 << 62))
+        ends = np.searchsorted(taken, np.cumsum(lengths)).tolist()
+        values = self.hashes[taken].tolist()
+        self.quarter = [set(values[a:b]) for a, b in zip([0, *ends], ends)]
+        self.whole: dict[int, set[int]] = {}
+
+    def all(self, i: int) -> set[int]:
+        if (got := self.whole.get(i)) is None:
+            got = self.whole[i] = set(self.hashes[self.start[i] : self.stop[i]].tolist())
+        return got
+
+    def similar(self, i: int, j: int) -> bool:
+        """similar() of two lines. A quarter of all hashes is held against each other first: pairs whose share is 5.5
+        standard deviations below the threshold are passed over, about one in a million of those at the threshold."""
+        x, y = self.quarter[i], self.quarter[j]
+        both = len(x & y)
+        union = len(x) + len(y) - both
+        if both < THRESHOLD * union - 5.5 * sqrt(THRESHOLD * (1 - THRESHOLD) * union):
+            return False
+        x, y = self.all(i), self.all(j)
+        if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+            return False
+        both = len(x & y)
+        return both >= THRESHOLD * (len(x) + len(y) - both) and similar(self.lines[i], self.lines[j])
+
+
+class Labels:
+    """Union-find over labels, and the pairs that were found not to be similar."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.unlike: set[tuple[int, int]] = set()
+
+    def find(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            x = up
+        return x
 
 
 def shingles(line: str) -> set[str]:
@@ -97,38 +136,45 @@ def similar(a: str, b: str) -> bool:
     return both >= THRESHOLD * (len(x) + len(y) - both)
 
 
-def similar_across(lines: list[str], sets: list[set[int]], part: np.ndarray, block: np.ndarray, own: bool) -> list[tuple[int, int]]:
-    """Pairs of similar lines that join all parts which similar pairs of different parts join.
+def similar_across(lines: HashedLines, members: list[int], part: list[int], block: list[int], own: bool, labels: Labels) -> list[tuple[int, int]]:
+    """Pairs of similar lines (places in members) that join all parts which similar pairs of different parts join.
 
-    With own, pairs lie in one block, else in two. Each line outside the largest part is held against all others: one
-    by one if they are few, else at once, by counting the lines that have each of its shingles. sets are hash_sets() of
-    the lines; pairs that pass on hashes are compared exactly.
+    With own, pairs lie in one block, else in two; labels carries what is known of these lines from group to group. Few lines are compared one by one; of many, each outside the
+    largest part is held against all others at once, by counting the lines that have each of its shingles.
     """
-    root, counts = np.unique(part, return_inverse=True, return_counts=True)[1:]
-    if len(counts) < 2:
-        return []
-    largest, label, out = counts.argmax(), root.copy(), []
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    few = len(lines) <= FEW
-    if not few:
-        values = np.fromiter((h for s in sets for h in s), np.uint64, size.sum())
-        ids = np.unique(values, return_inverse=True)[1]
-        by = np.argsort(ids, kind="stable")
-        holders, first = np.repeat(np.arange(len(lines)), size)[by], np.searchsorted(ids[by], np.arange(ids.max() + 2))
-        at = np.cumsum(size) - size
-    for i in np.flatnonzero(root != largest).tolist():
-        may = (label != label[i]) & ((block == block[i]) if own else (block != block[i]))
-        may &= (np.minimum(size, size[i]) >= THRESHOLD * np.maximum(size, size[i])) & ((root == largest) | (np.arange(len(lines)) > i))
-        if few:
-            near = [j for j in np.flatnonzero(may).tolist() if may_be_similar(sets[i], sets[j])]
+    n, out = len(members), []
+
+    def link(i: int, j: int) -> None:
+        x, y = labels.find(part[i]), labels.find(part[j])
+        if x == y:
+            return
+        pair = (members[i], members[j]) if members[i] < members[j] else (members[j], members[i])
+        if pair in labels.unlike:
+            return
+        if lines.similar(*pair):
+            out.append((i, j))
+            labels.up[y] = x
         else:
-            mine = ids[at[i] : at[i] + size[i]]
-            both = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine]), minlength=len(lines))
-            near = np.flatnonzero(may & (both >= THRESHOLD * (size + size[i] - both))).tolist()
-        for j in near:
-            if label[i] != label[j] and similar(lines[i], lines[j]):
-                out.append((i, j))
-                label[label == label[j]] = label[i]
+            labels.unlike.add(pair)
+
+    if n <= FEW:
+        for i in range(n):
+            for j in range(i + 1, n):
+                if (block[i] == block[j]) == own:
+                    link(i, j)
+        return out
+    sets = [np.unique(lines.hashes[lines.start[m] : lines.stop[m]]) for m in members]
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    by = np.argsort(ids, kind="stable")
+    holders, first = np.repeat(np.arange(n), size)[by], np.searchsorted(ids[by], np.arange(ids.max() + 2))
+    at, parts, blocks = np.cumsum(size) - size, np.array(part), np.array(block)
+    values, counts = np.unique(parts, return_counts=True)
+    for i in np.flatnonzero(parts != values[counts.argmax()]).tolist():
+        mine = ids[at[i] : at[i] + size[i]]
+        both = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine]), minlength=n)
+        for j in np.flatnonzero((both >= THRESHOLD * (size + size[i] - both)) & ((blocks == blocks[i]) == own)).tolist():
+            link(i, j)
     return out
 
 
@@ -155,7 +201,7 @@ def _bands(batches):
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, k (see row_key), pos and the trimmed line, for lines with a word."""
-    line = docs.select("doc_id", row_key().alias("k"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
+    line = docs.withColumn("k", row_key()).select("doc_id", "k", F.posexplode(F.split(text_of(), "\n")).alias("pos", "line"))
     return line.select("doc_id", "k", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).where("line != ''")
 
 
@@ -165,28 +211,49 @@ _H1, _H2 = F.xxhash64, lambda line: F.xxhash64(F.lit(1), line)
 @pandas_udf(BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
-    for at in range(0, len(a), 500):
-        x, y = a.iloc[at : at + 500].tolist(), b.iloc[at : at + 500].tolist()
-        sets = hash_sets(x + y)
-        out += [may_be_similar(p, q) and similar(i, j) for i, j, p, q in zip(x, y, sets, sets[len(x) :])]
+    for at in range(0, len(a), 250):
+        number: dict[str, int] = {}
+        pairs = [(number.setdefault(x, len(number)), number.setdefault(y, len(number))) for x, y in zip(a.iloc[at : at + 250], b.iloc[at : at + 250])]
+        lines = HashedLines(list(number))
+        out += [lines.similar(i, j) for i, j in pairs]
     return pd.Series(out, dtype="bool")
 
 
+def _shared_keys(batches):
+    """key, node, rep of the keys with several nodes, from a task's rows, which come sorted by key and node."""
+    held = None  # the last key so far, its first and its last node, and whether its rows went out
+    for batch in batches:
+        key, node = (batch.column(i).to_numpy() for i in range(2))
+        if held:
+            key, node = np.append(held[0], key), np.append(held[2], node)
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        key, node = key[fresh], node[fresh]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        rep, many = node[start], size > 1
+        if held:
+            rep[0], many[0] = held[1], many[0] | held[3]
+        rows = np.repeat(many, size)
+        if held and held[3]:
+            rows[0] = False
+        held = key[-1], rep[-1], node[-1], many[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[rows], node[rows], np.repeat(rep, size)[rows])], ["key", "node", "rep"])
+
+
 def _buckets(work: Workspace, docs: DataFrame) -> DataFrame:
     """key, node, rep: the lines of each band's key that several different lines share, and the least of them.
 
-    Keys of many lines (some thousand at most, found by counting frequent items) stay where they are and are combined
-    before they are shuffled; all others are shuffled once.
+    Keys of many lines (a thousand at most, frequent items of a sample, which decides only how they are combined) stay
+    where they are and are combined before they are shuffled; all others are shuffled and sorted once.
     """
     keyed = work.write(docs.select("text").mapInPandas(_bands, "key long, node long"))
-    often = keyed.stat.freqItems(["key"], 1 / HEAVY).first()
+    often = keyed.sample(0.1, 7).stat.freqItems(["key"], 1 / HEAVY).first()
     heavy = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in (often[0] if often else None) or []], "key long"))
-    ends = [F.min("node").alias("rep"), F.max("node").alias("top")]
-    light = keyed.join(heavy, "key", "left_anti").repartition(_partitions(docs), "key")
-    stars = light.join(light.groupBy("key").agg(*ends).where("rep < top").hint("merge"), "key")
+    light = keyed.join(heavy, "key", "left_anti").repartition(_partitions(docs), "key").sortWithinPartitions("key", "node")
     hot = keyed.join(heavy, "key")
-    stars = stars.unionByName(hot.join(F.broadcast(hot.groupBy("key").agg(*ends).where("rep < top")), "key"))
-    out = work.write(stars.select("key", "node", "rep").distinct())
+    ends = hot.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
+    stars = light.mapInArrow(_shared_keys, "key long, node long, rep long")
+    out = work.write(stars.unionByName(hot.distinct().join(F.broadcast(ends), "key")))
     work.drop(keyed)
     return out
 
@@ -202,7 +269,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "pos")
     lines = work.write(_lines(docs).select("doc_id", "k", "pos", _H1("line").alias("h1"), _H2("line").alias("h2")))
-    heads = work.write(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    heads = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
 
     stars = _buckets(work, docs)
     nodes = stars.select(F.col("node").alias("h1")).distinct()
@@ -234,16 +301,16 @@ def _rest(work: Workspace, stars: DataFrame, parts: DataFrame, texts: DataFrame)
     Only lines of different components are compared, in groups of two blocks of a bucket's lines. Of buckets with the
     same lines one is taken.
     """
-    located = work.write(stars.join(parts.hint("merge"), stars.node == parts.node, "left").select("key", stars.node, F.coalesce("component", stars.node).alias("part")))
+    located = work.write(stars.join(parts.hint("merge"), stars.node == parts.node, "left").select("key", "rep", stars.node, F.coalesce("component", stars.node).alias("part")))
     print_ = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
     apart = located.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), *print_).where("lo < hi and n > 2")
     apart = apart.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"))
     apart = work.write(apart.select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     dealt = skew_join(located, apart, ["key"], "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    groups = dealt.select("key", "node", "part", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), p -> struct(least(p, block) as x, greatest(p, block) as y))")).alias("g"))
-    groups = groups.select("key", "node", "part", "block", "g.x", "g.y").join(texts.select(F.col("h1").alias("node"), "line").hint("merge"), "node")
-    by = ["key", "x", "y"]
-    groups = groups.repartition(_partitions(stars), *by).sortWithinPartitions(*by)
+    groups = dealt.select("rep", "key", "node", "part", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), p -> struct(least(p, block) as x, greatest(p, block) as y))")).alias("g"))
+    groups = groups.select("rep", "key", "node", "part", "block", "g.x", "g.y").join(texts.select(F.col("h1").alias("node"), "line").hint("merge"), "node")
+    # buckets with the same first line share many others, so they are compared by one task, next to each other
+    groups = groups.repartition(_partitions(stars), "rep", "x", "y").sortWithinPartitions("rep", "key", "x", "y")
     return groups.mapInPandas(_compare, "a long, b long")
 
 
@@ -251,12 +318,15 @@ def _compare(batches):
     """similar_across() for each group of a task, which come sorted by group, a bounded number of lines at a time."""
 
     def links(df: pd.DataFrame) -> pd.DataFrame:
-        key, x, y, nodes, part, block, lines = (df[c].to_numpy() for c in ("key", "x", "y", "node", "part", "block", "line"))
-        sets = hash_sets(lines.tolist())
+        key, x, y = (df[c].to_numpy() for c in ("key", "x", "y"))
+        part, block, ids = (df[c].tolist() for c in ("part", "block", "node"))
+        text = dict(zip(ids, df["line"]))
+        number = {node: i for i, node in enumerate(text)}
+        lines, labels = HashedLines(list(text.values())), Labels()
         new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
         out = []
         for a, b in zip([0, *new.tolist()], [*new.tolist(), len(df)]):
-            out += [(nodes[a + i], nodes[a + j]) for i, j in similar_across(lines[a:b], sets[a:b], part[a:b], block[a:b], x[a] == y[a])]
+            out += [(ids[a + i], ids[a + j]) for i, j in similar_across(lines, [number[m] for m in ids[a:b]], part[a:b], block[a:b], x[a] == y[a], labels)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     held = None

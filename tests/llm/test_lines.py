@@ -73,7 +73,7 @@ def test_similar_across_matches_pairs(monkeypatch, few):
         for _ in range(rng.randrange(3)):
             t[rng.randrange(80)] = rng.choice("xyz")
         lines.append("".join(t))
-    part, block = L.np.array([rng.randrange(30) for _ in lines]), L.np.array([rng.randrange(2) for _ in lines])
+    part, block = [rng.randrange(30) for _ in lines], [rng.randrange(2) for _ in lines]
     for own in (True, False):
         def joined(pairs):
             label = list(part)
@@ -81,7 +81,7 @@ def test_similar_across_matches_pairs(monkeypatch, few):
                 label = [label[i] if x == label[j] else x for x in label]
             return [label.index(x) for x in label]
         brute = [(i, j) for i in range(60) for j in range(i) if (block[i] == block[j]) == own and L.similar(lines[i], lines[j])]
-        assert joined(L.similar_across(lines, L.hash_sets(lines), part, block, own)) == joined(brute)
+        assert joined(L.similar_across(L.HashedLines(lines), list(range(60)), part, block, own, L.Labels())) == joined(brute)
 
 
 def test_recall_of_bands_at_the_threshold():
@@ -111,3 +111,15 @@ def test_queries_columns_match_brute_force(spark, tmp_path):
         assert r.n_lines == sum(x.strip(L.SPACES) != "" for x in lines) and r.n_dropped == len(r.dropped_lines)
         wrong += "\n".join(x for i, x in enumerate(lines) if i not in r.dropped_lines) != (w or "")
     assert wrong <= 1
+
+
+def test_shared_keys_over_any_batches():
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(40), rng.randrange(4)) for _ in range(300))
+    nodes = {}
+    for k, n in rows:
+        nodes.setdefault(k, set()).add(n)
+    want = sorted((k, n, min(ns)) for k, ns in nodes.items() if len(ns) > 1 for n in ns)
+    for step in (1, 2, 7, 1000):
+        batches = [L.pa.RecordBatch.from_arrays([L.pa.array(c) for c in zip(*rows[i : i + step])], ["key", "node"]) for i in range(0, 300, step)]
+        assert sorted(zip(*(sum((b.column(c).to_pylist() for b in L._shared_keys(iter(batches))), []) for c in range(3)))) == want
