@@ -248,9 +248,9 @@ def _buckets(work: Workspace, docs: DataFrame) -> DataFrame:
     """
     keyed = work.write(docs.select("text").mapInPandas(_bands, "key long, node long"))
     often = keyed.sample(0.1, 7).stat.freqItems(["key"], 1 / HEAVY).first()
-    heavy = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in (often[0] if often else None) or []], "key long"))
-    light = keyed.join(heavy, "key", "left_anti").repartition(_partitions(docs), "key").sortWithinPartitions("key", "node")
-    hot = keyed.join(heavy, "key")
+    heavy = F.col("key").isin(list((often[0] if often else None) or []))
+    light = keyed.where(~heavy).repartition(_partitions(docs), "key").sortWithinPartitions("key", "node")
+    hot = keyed.where(heavy)
     ends = hot.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
     stars = light.mapInArrow(_shared_keys, "key long, node long, rep long")
     out = work.write(stars.unionByName(hot.distinct().join(F.broadcast(ends), "key")))
