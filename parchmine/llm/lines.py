@@ -21,7 +21,7 @@ from .components import connected_components
 SHINGLE, ROWS, BANDS, THRESHOLD = 9, 3, 9, 0.8
 #: Lines of a bucket that one group of the second round compares with as many others, and lines that it takes at once.
 BLOCK, CHUNK = 1000, 4000
-#: Lines of a group up to which pairs are compared one by one, not by posting lists.
+#: Lines of a bucket up to which pairs are compared one by one; in larger ones all are held against the first, and the rest by posting lists.
 FEW = 24
 SPACES = " \t\n\v\f\r"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -33,30 +33,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each place of the joined lines, of the shingle that starts there, and the lengths of the lines.
+def shingle_hashes(lines: list[str], exact: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A hash for each place of the joined lines, of the shingle that starts there, the lengths of the lines, and
+    whether different shingles have different hashes.
 
     Every line has SHINGLE or more characters; at the last SHINGLE - 1 places of each the hash is the largest number.
+    With exact, characters are numbered anew where these lines have up to 127 different ones, so that a shingle fits
+    into 63 bits; such hashes compare only with each other.
     """
     joined = "".join(lines)
-    points = np.frombuffer(joined.encode("latin-1" if joined.isascii() else "utf-32-le"), np.uint8 if joined.isascii() else np.uint32).astype(np.uint64)
+    points = np.frombuffer(joined.encode("latin-1" if joined.isascii() else "utf-32-le"), np.uint8 if joined.isascii() else np.uint32)
+    if exact and not joined.isascii():
+        there = np.zeros(points.max() + 1, bool)
+        there[points] = True
+        exact = there.sum() < 128
+        points = np.cumsum(there)[points] - 1 if exact else points
+    points = points.astype(np.uint64)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    h, power, done = points, _MIX[:1], 1
+    base = np.array([128], np.uint64) if exact else _MIX[:1]
+    h, power, done = points, base, 1
     while done * 2 <= SHINGLE:  # h: hashes of `done` characters
         h = h[:-done] * power + h[done:]
         power, done = power * power, done * 2
     for i in range(done, SHINGLE):
-        h = h[:-1] * _MIX[0] + points[i:]
+        h = h[:-1] * base + points[i:]
     out = np.empty(len(points), np.uint64)
     out[: len(h)] = _mix(h)
     out[(np.cumsum(lengths)[:, None] - np.arange(1, SHINGLE)).ravel()] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    return out, lengths
+    return out, lengths, exact
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys of one-permutation MinHash signatures of character shingles; every line has SHINGLE or more characters."""
     k = ROWS * BANDS
-    h, lengths = shingle_hashes(lines)
+    h, lengths, _ = shingle_hashes(lines)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(len(lines) * k, empty)
     slot = ((h >> np.uint64(40)) * np.uint64(k) >> np.uint64(24)).astype(np.int64) + np.repeat(np.arange(len(lines)) * k, lengths)
@@ -76,11 +86,11 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 class HashedLines:
-    """Lines with hashes of their shingles: as many are shared as shingles are, or more if hashes collide."""
+    """Lines with hashes of their shingles: as many are shared as shingles are, or more if hashes collide, which only inexact ones can."""
 
     def __init__(self, lines: list[str]):
         self.lines = lines
-        self.hashes, lengths = shingle_hashes(lines) if lines else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.hashes, lengths, self.exact = shingle_hashes(lines, True) if lines else (np.empty(0, np.uint64), np.empty(0, np.int64), True)
         self.stop = np.cumsum(lengths)
         self.start = (self.stop - lengths).tolist()
         self.stop = (self.stop - SHINGLE + 1).tolist()
@@ -107,7 +117,7 @@ class HashedLines:
         if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
             return False
         both = len(x & y)
-        return both >= THRESHOLD * (len(x) + len(y) - both) and similar(self.lines[i], self.lines[j])
+        return both >= THRESHOLD * (len(x) + len(y) - both) and (self.exact or similar(self.lines[i], self.lines[j]))
 
 
 class Labels:
@@ -267,44 +277,47 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """k and dropped, the sorted positions of the lines that go, for each document (by its key k) that loses any."""
     work = Workspace(docs.sparkSession, "lines")
     docs = docs.select("doc_id", "text")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "pos")
     lines = work.write(_lines(docs).select("doc_id", "k", "pos", _H1("line").alias("h1"), _H2("line").alias("h2")))
-    heads = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-
     stars = _buckets(work, docs)
     nodes = stars.select(F.col("node").alias("h1")).distinct()
     # of two lines with one h1, which 64 bits can't exclude, the one with the lesser h2 takes part
     texts = _lines(docs).select(_H1("line").alias("h1"), _H2("line").alias("h2"), "line").join(nodes.hint("merge"), "h1", "left_semi")
     texts = work.write(texts.groupBy("h1").agg(F.min(F.struct("h2", "line")).alias("t")).select("h1", "t.h2", "t.line"))
-    pairs = work.write(stars.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
+    prints = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
+    sizes = work.write(stars.groupBy("key").agg(F.count("*").alias("n"), *prints))
+    large = sizes.where(F.col("n") > FEW).select("key", "n")
+    pairs = skew_join(stars, large, ["key"], "n").where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    pairs = work.write(pairs.distinct())
     reps = work.write(pairs.groupBy("b").count().join(texts.select(F.col("h1").alias("b"), F.col("line").alias("tb")).hint("merge"), "b"))
     sides = work.write(pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("ta")).hint("merge"), "a"))
     links = work.write(skew_join(sides, reps, ["b"], "count").where(_similar("ta", "tb")).select("a", "b"))
-    work.drop(sides)
     parts = work.write(connected_components(work, links))
-    links = work.write(links.union(_rest(work, stars, parts, texts)))
+    links = work.write(links.union(_within(work, stars, sizes, parts, texts)))
     parts = work.write(connected_components(work, links))
 
     told = texts.select("h1", "h2").join(parts.select(F.col("node").alias("h1"), "component").hint("merge"), "h1")
-    all_heads = work.write(heads.join(told.hint("merge"), ["h1", "h2"], "left").where("component is not null or n > 1"))
-    near = all_heads.where("component is not null")
-    firsts = work.write(near.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("m")))
-    kept = skew_join(near, firsts, ["component"], "m").select("h1", "h2", "n", "kept")
-    kept = work.write(kept.union(all_heads.where("component is null").select("h1", "h2", "n", "first")))
-    gone = skew_join(lines, kept, ["h1", "h2"], "n").where((F.col("k") != F.col("kept.k")) | (F.col("pos") != F.col("kept.pos")))
+    different = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    different = work.write(different.join(told.hint("merge"), ["h1", "h2"], "left").where("component is not null or n > 1"))
+    # a group is a component, or the equal lines of one kind
+    group = [F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("g2"), F.col("component").isNull().alias("equal")]
+    grouped = work.write(skew_join(lines, different, ["h1", "h2"], "n").select("doc_id", "k", "pos", *group))
+    ids = ["g1", "g2", "equal"]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "pos")
+    firsts = work.write(grouped.groupBy(*ids).agg(F.min(place).alias("kept"), F.count("*").alias("m")))
+    gone = skew_join(grouped, firsts, ids, "m").where((F.col("k") != F.col("kept.k")) | (F.col("pos") != F.col("kept.pos")))
     return gone.groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def _rest(work: Workspace, stars: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links in buckets of three or more lines that the comparison with the bucket's first line left apart.
+def _within(work: Workspace, stars: DataFrame, sizes: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within buckets: in large ones, those that the comparison with the bucket's first line has left open.
 
     Only lines of different components are compared, in groups of two blocks of a bucket's lines. Of buckets with the
     same lines one is taken.
     """
-    located = work.write(stars.join(parts.hint("merge"), stars.node == parts.node, "left").select("key", "rep", stars.node, F.coalesce("component", stars.node).alias("part")))
-    print_ = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)]
-    apart = located.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), *print_).where("lo < hi and n > 2")
-    apart = apart.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"))
+    part = F.coalesce("component", stars.node)
+    located = work.write(stars.join(parts.hint("merge"), stars.node == parts.node, "left").select("key", "rep", stars.node, part.alias("part")))
+    whole = located.groupBy("key").agg((F.min("part") == F.max("part")).alias("one")).where("one")
+    apart = sizes.join(whole.hint("merge"), "key", "left_anti").groupBy("s1", "s2", "n").agg(F.min("key").alias("key"))
     apart = work.write(apart.select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     dealt = skew_join(located, apart, ["key"], "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     groups = dealt.select("rep", "key", "node", "part", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), p -> struct(least(p, block) as x, greatest(p, block) as y))")).alias("g"))

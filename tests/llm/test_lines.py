@@ -46,6 +46,7 @@ def corpus(seed):
 @pytest.mark.parametrize("block", [2, 256])
 def test_dedup_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L, "FEW", 3 if block == 2 else 24)
     rows = corpus(block)
     df = spark.createDataFrame([(d, t, "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, k string, `a.b` int")
     out = L.dedup_lines(df)
@@ -123,3 +124,13 @@ def test_shared_keys_over_any_batches():
     for step in (1, 2, 7, 1000):
         batches = [L.pa.RecordBatch.from_arrays([L.pa.array(c) for c in zip(*rows[i : i + step])], ["key", "node"]) for i in range(0, 300, step)]
         assert sorted(zip(*(sum((b.column(c).to_pylist() for b in L._shared_keys(iter(batches))), []) for c in range(3)))) == want
+
+
+def test_exact_hashes_tell_shingles_apart():
+    rng = random.Random(3)
+    for letters in ("abc", "abcdefghäöü€", "".join(map(chr, range(300, 500)))):
+        lines = ["".join(rng.choice(letters) for _ in range(rng.randrange(9, 200))) for _ in range(50)]
+        hashed = L.HashedLines(lines)
+        assert hashed.exact == (len(set("".join(lines))) < 128)
+        assert all(len(hashed.all(i)) == len(L.shingles(x)) for i, x in enumerate(lines))
+        assert all(len(hashed.all(i) & hashed.all(j)) == len(L.shingles(lines[i]) & L.shingles(lines[j])) for i in range(50) for j in range(i))
