@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch at most, so that a Python worker's memory doesn't grow with the lengths of the texts.
+BATCH = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +41,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
