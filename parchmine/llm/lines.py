@@ -253,17 +253,22 @@ def _shared_keys(batches):
 def _buckets(work: Workspace, docs: DataFrame) -> DataFrame:
     """key, node, rep: the lines of each band's key that several different lines share, and the least of them.
 
-    Keys of many lines (a thousand at most, frequent items of a sample, which decides only how they are combined) stay
-    where they are and are combined before they are shuffled; all others are shuffled and sorted once.
+    Keys with more than a thousandth of all rows, as a sample tells (a wrong guess changes only how a key's rows are
+    combined), stay where they are and are combined before they are shuffled; all others are shuffled and sorted once.
     """
     keyed = work.write(docs.select("text").mapInPandas(_bands, "key long, node long"))
-    often = keyed.sample(0.1, 7).stat.freqItems(["key"], 1 / HEAVY).first()
-    heavy = F.col("key").isin(list((often[0] if often else None) or []))
-    light = keyed.where(~heavy).repartition(_partitions(docs), "key").sortWithinPartitions("key", "node")
-    hot = keyed.where(heavy)
-    ends = hot.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
+    share = 0.02
+    least = max(50, keyed.count() * share / HEAVY)
+    often = [r.key for r in keyed.sample(share, 7).groupBy("key").count().where(F.col("count") > least).select("key").collect()]  # HEAVY keys at most
+    heavy = F.col("key").isin(often)
+    light = keyed.where(~heavy) if often else keyed
+    light = light.repartition(_partitions(docs), "key").sortWithinPartitions("key", "node")
     stars = light.mapInArrow(_shared_keys, "key long, node long, rep long")
-    out = work.write(stars.unionByName(hot.distinct().join(F.broadcast(ends), "key")))
+    if often:
+        hot = keyed.where(heavy)
+        ends = hot.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
+        stars = stars.unionByName(hot.distinct().join(F.broadcast(ends), "key"))
+    out = work.write(stars)
     work.drop(keyed)
     return out
 
