@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
@@ -19,6 +21,10 @@ from .common import table
 #: Elements that hold no text of a page; elements inside a line; elements without an end tag.
 SILENT = set("script style head title noscript template iframe svg object embed canvas audio video map select datalist option button textarea math".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
+#: Elements that a head may hold.
+HEAD = set("base head link meta noscript script style template title".split())
+#: Silent elements whose start tag counts only if an end tag follows: left open, they would silence the rest of the page.
+ENDED = SILENT - {"script", "style", "head", "title", "textarea"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Which open elements a start tag closes, and where the search for them stops.
 CLOSES = {
@@ -47,6 +53,7 @@ TOKENS = {
     "form": "form search login signin register contact input searchbox field",
     "text": "article content post entry main body text story page hentry blog articlebody prose paragraph document",
 }
+_END = re.compile(r"</([a-zA-Z]+)")
 _GROUPS = {w: i for i, ws in enumerate(TOKENS.values()) for w in ws.split()}
 _TAG = {t: i for i, ts in enumerate(TAGS) for t in ts.split()}
 NUMBERS = 27
@@ -63,7 +70,12 @@ class Node:
 
 
 class Dom(HTMLParser):
-    """Block elements of a page in order, and its lines: the runs of text between block boundaries."""
+    """Block elements of a page in order, and its lines: the runs of text between block boundaries.
+
+    A head ends at the first element or text that may not be in it, whether its end tag is there or not. A noscript,
+    button, video or other element of ENDED that is never closed, self-closed ones included, is passed over, and what
+    follows it is text of the page.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -72,6 +84,7 @@ class Dom(HTMLParser):
         self.open: list[tuple[str, Node | None]] = [("html", self.nodes[0])]
         self.silent = self.links = self.linked = 0
         self.text: list[str] = []
+        self.ends = Counter(t for t in map(str.lower, _END.findall(html)) if t in ENDED)  # that are still to come
         self.feed(html)
         self.close()
         self.cut()
@@ -96,6 +109,10 @@ class Dom(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
+        if self.open[-1][0] == "head" and tag not in HEAD:
+            self.pop(len(self.open) - 1)
+        if tag in ENDED and self.ends[tag] <= sum(t == tag for t, _ in self.open if self.silent):
+            return
         if tag in VOID:
             if tag in INLINE:
                 self.text.append(" " if tag == "br" else "")
@@ -139,6 +156,8 @@ class Dom(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in ENDED:
+            self.ends[tag] -= 1
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 self.pop(i)
@@ -147,6 +166,8 @@ class Dom(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self.pop(len(self.open) - 1)
         if not self.silent:
             self.text.append(data)
             if self.links:
@@ -180,6 +201,11 @@ def node_features(dom: Dom) -> np.ndarray:
     below = np.column_stack([s[:, :6], subtree, paragraphs, headings, lists, main, first])
     for i in range(n - 1, 0, -1):  # children come after their parents
         below[nodes[i].parent.order] += below[i]
+    place, alike = np.zeros(n, int), np.ones(n, int)
+    for x in nodes:
+        tags = Counter(c.tag for c in x.children)
+        for at, c in enumerate(x.children):
+            place[c.order], alike[c.order] = at, tags[c.tag]
     out = np.zeros((n, NUMBERS + len(TAGS) + 3 * len(TOKENS)))
     inside = np.zeros((n, 2), bool)
     above = [frozenset()] * n
@@ -188,15 +214,14 @@ def node_features(dom: Dom) -> np.ndarray:
         p = x.parent
         row = out[i]
         if p:
-            same = sum(c.tag == x.tag for c in p.children)
-            at = p.children.index(x) if len(p.children) < 64 else 32
+            same, at = alike[i], place[i]
             family = below[p.order, 0]
             up = p.order
             inside[i] = inside[up] | (p.tag in ("article", "main"), p.tag in ("nav", "footer", "aside", "form", "header"))
             above[i] = above[up] | p.groups
             k, sizes = len(p.children), family / len(p.children)
-            before = below[p.children[at - 1].order, 0] if at and k < 64 else 0
-            after = below[p.children[at + 1].order, 0] if at + 1 < k < 64 else 0
+            before = below[p.children[at - 1].order, 0] if at else 0
+            after = below[p.children[at + 1].order, 0] if at + 1 < k else 0
         else:
             same, at, family, k, sizes, before, after = 1, 0, chars, 1, chars, 0, 0
         row[:NUMBERS] = (
@@ -436,7 +461,7 @@ def extract_main_text(pages: DataFrame, model: Boosted | None = None) -> DataFra
     """page_id, url, text, n_chars of every row of pages (page_id, url, html, ...).
 
     Null, empty and textless pages have an empty text. Pages are read whole and apart from each other, so repeated
-    rows get equal texts.
+    rows get equal texts. Null ids and urls stay. Columns by other names aren't read and don't return.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # 50 trees of 16 leaves
 
@@ -449,4 +474,5 @@ def extract_main_text(pages: DataFrame, model: Boosted | None = None) -> DataFra
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_main_text() of all pages, with the model that trained() fits."""
     return extract_main_text(table(spark, sf_dir, "pages"))

@@ -61,3 +61,48 @@ def test_rows(spark, model):
     by = {r.page_id: r.text for r in got}
     assert by[2] == "" and by[None] == "" and by[1].startswith("Title")
     assert H.extract_main_text(df.limit(0), model).count() == 0
+
+
+ARTICLE = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {i} of the article has a fair number of words in it, as text has.</p>" for i in range(4)) + "</article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8>{ARTICLE}",
+        f"<html><head><title>T</title></head><body><noscript>{ARTICLE}</body></html>",
+        f"<html><body><button>{ARTICLE}</body></html>",
+        f"<html><body><video/>{ARTICLE}</body></html>",
+        f"<html><body><noscript>Enable scripts</noscript><video><p>No video</p></video>{ARTICLE}</body></html>",
+        f"<html><head><noscript><style>x</style></noscript><title>T</title></head><body><NOSCRIPT>{ARTICLE}</body></html>",
+    ],
+)
+def test_heads_and_silent_elements_without_end_tags(model, page):
+    lines = H.main_text(page, model).split("\n")
+    assert lines == ["Title", *(f"Paragraph {i} of the article has a fair number of words in it, as text has." for i in range(4))]
+
+
+def test_text_ends_a_head():
+    assert [line for _, line, _ in H.Dom("<head><title>T</title>loose words<p>more</p>").lines] == ["loose words", "more"]
+
+
+def test_pages_with_many_siblings(model):
+    """Each paragraph of a long article stays, in time in proportion to their number."""
+    for n in (80, 300, 5000):
+        words = [f"Paragraph {i} of the article has a fair number of words in it, as text has, {'and more of it ' * (i % 5)}here." for i in range(n)]
+        page = PAGE.replace("<p>Second", "".join(f"<p>{w}</p>" for w in words) + "<p>Second")
+        got = H.main_text(page, model).split("\n")
+        assert got[2 : n + 2] == words and len(got) == n + 4
+
+
+def test_lines_of_held_out_pages_match_their_truth(spark, model):
+    """extract_main_text() against what a maker of pages meant, page by page."""
+    maker, rows, want = H.Pages(99), [], []
+    for i in range(40):
+        page = maker.page()
+        dom = H.Dom(page)
+        rows.append((i, "u", page, "x"))
+        want.append("\n".join(line for n, line, _ in dom.lines if n.label))
+    df = spark.createDataFrame(rows + [(None, None, None, "x")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in H.extract_main_text(df).collect()}
+    assert sum(got[i].text == w for i, w in enumerate(want)) >= 36 and (got[None].text, got[None].n_chars) == ("", 0)
