@@ -122,7 +122,10 @@ def measure(text: str, c: PieceCodec) -> tuple:
 
 
 def measured(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """docs (text, ...) with a struct column `quality_rules` of counts and fertility; every text is read whole."""
+    """docs (text, ...) with a struct column `quality_rules` of counts and fertility; every text is read whole.
+
+    A column of docs by that name is replaced.
+    """
 
     @pandas_udf(MEASURES)
     def measures(texts: pd.Series) -> pd.DataFrame:
@@ -147,7 +150,7 @@ def judged(rows: DataFrame) -> DataFrame:
 
     A null or empty text has counts of zero, null fertility and fails. A null lang has no band of its own; its texts
     are held against their script's band, and texts without letters of a known script against a wide one. Repeated
-    rows get equal verdicts, and copies don't move a band.
+    rows get equal verdicts, and copies don't move a band. A column `quality_kept` of rows is replaced.
     """
     bands = language_bands(rows)
     few = bounded_broadcast(bands, rows.select("lang").distinct().count())
@@ -156,7 +159,7 @@ def judged(rows: DataFrame) -> DataFrame:
     reach = F.col("_parchmine_reach") * F.sqrt(1 + SHORT / F.greatest(q.n_tokens, F.lit(1)))
     inside = F.coalesce(F.abs(q.chars_per_token - F.col("_parchmine_middle")) <= reach, F.lit(True))
     out = rows.join(few, F.col("lang") == F.col("_parchmine_lang"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], (~q.base_failed & q.in_script_band & inside).alias("quality_kept"))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != "quality_kept"], (~q.base_failed & q.in_script_band & inside).alias("quality_kept"))
 
 
 def quality_rules(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -165,6 +168,7 @@ def quality_rules(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op3_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts, fertility and verdict of every document; see measured() and judged()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = Workspace(spark, "quality").write(measured(docs).drop("text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

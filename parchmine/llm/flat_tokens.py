@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,31 +50,39 @@ def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BY
 
 
 def write_flat(docs: DataFrame, work: Workspace, ranks: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Tokens of docs (doc_id, text) as flat files of a separator after each text, in blocks: file, block, data.
+    """Tokens of docs (doc_id, text, ...) as flat files of a separator after each text, in blocks: file, block, data.
 
     A task's texts are one file. Rows with a null `data` say which documents a file has, in order (base, ids); the
-    scan doesn't read them. The separator's text is ordinary text in a document.
+    scan doesn't read them. The separator's text is ordinary text in a document. A null text is empty, and is a
+    document like any other; ids of any type and null ids are kept as they are, and repeated rows are a document each.
+    Other columns aren't read.
     """
+    rows = docs.select("doc_id", "text")
+    schema = f"file string, block long, data binary, base long, ids array<{rows.schema['doc_id'].dataType.simpleString()}>"
 
     def flatten(batches):
         enc, file = encoding(ranks or default_ranks()), str(TaskContext.get().partitionId())
-        buffer, block, base = bytearray(), 0, 0
+        buffer, block, base, id_type = bytearray(), 0, 0, pa.null()
         end = np.array([SEPARATOR], f"<u{WIDTH}").tobytes()
+
+        def row(**values):
+            types = {"file": pa.string(), "block": pa.int64(), "data": pa.binary(), "base": pa.int64(), "ids": pa.list_(id_type)}
+            return pa.RecordBatch.from_arrays([pa.array([file if c == "file" else values.get(c)], t) for c, t in types.items()], list(types))
+
         for batch in batches:
-            for text in batch["text"]:
-                buffer += np.array(enc.encode_ordinary(text or ""), f"<u{WIDTH}").tobytes() + end
+            id_type, ids = batch.column(0).type, batch.column(0).to_pylist()
+            for text in batch.column(1):
+                buffer += np.array(enc.encode_ordinary(text.as_py() or ""), f"<u{WIDTH}").tobytes() + end
                 while len(buffer) >= block_bytes:
-                    yield pd.DataFrame({"file": [file], "block": [block], "data": [bytes(buffer[:block_bytes])], "base": [None], "ids": [None]})
+                    yield row(block=block, data=bytes(buffer[:block_bytes]))
                     del buffer[:block_bytes]
                     block += 1
-            ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"].astype("object")]
-            yield pd.DataFrame({"file": [file], "block": [None], "data": [None], "base": [base], "ids": [ids]})
+            yield row(base=base, ids=ids)
             base += len(ids)
         if buffer:
-            yield pd.DataFrame({"file": [file], "block": [block], "data": [bytes(buffer)], "base": [None], "ids": [None]})
+            yield row(block=block, data=bytes(buffer))
 
-    schema = "file string, block long, data binary, base long, ids array<long>"
-    return work.write(docs.select("doc_id", "text").mapInPandas(flatten, schema))
+    return work.write(rows.mapInArrow(flatten, schema))
 
 
 @pandas_udf(StructType([StructField("tokens", IntegerType()), StructField("ends", ArrayType(IntegerType()))]))
@@ -114,7 +123,7 @@ def separator_scan(blocks: DataFrame, work: Workspace) -> DataFrame:
 
 
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, file, ordinal and start of every document, counted from flat files of its table."""
+    """doc_id, n_tokens, file, ordinal and start of every document, counted from flat files of its table; see write_flat()."""
     work = Workspace(spark, "flat")
     flat = write_flat(table(spark, sf_dir, "documents"), work)
     counts = work.write(separator_scan(flat.select("file", "block", "data"), work))

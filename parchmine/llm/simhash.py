@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import Workspace, table
+from .common import Workspace, skew_join, table
 from .components import connected_components
 
 SHINGLE = 3
@@ -60,48 +60,51 @@ def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFra
     exactly by midpoints: two fingerprints differ in at most 2 bits if and only if the balls of radius 1 around them
     meet, and one point has at most 65 fingerprints around it. No link is lost, and rows stay in proportion.
 
-    Null or empty texts and texts without words have fingerprint zero and are linked like any other. Rows with null
-    doc_id get the component of their fingerprint; repeated doc_ids are one node.
+    Null or empty texts and texts without words have fingerprint zero and are linked like any other. Rows with a null
+    doc_id link like any other, so two rows may be linked through one; a component without a doc_id is null. Rows that
+    repeat a doc_id have a fingerprint each. Columns of docs by other names, fp included, aren't read.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "simhash")
-    prints = work.write(docs.select("doc_id", fingerprints("text").alias("fp")))
-    different = work.write(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = work.write(_links(work, different, hot_bucket))
-    found = work.write(connected_components(work, links))
-    ids = work.write(
-        different.join(found, different.rep == found.node, "left").select(
-            "fp", F.coalesce("component", "rep").alias("component_id")
-        )
-    )
-    return prints.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    found = components(Workspace(docs.sparkSession, "simhash"), docs, hot_bucket)
+    return found.select("doc_id", "fp", "component_id")
+
+
+def components(work: Workspace, docs: DataFrame, hot_bucket: int = HOT_BUCKET, *more: Column) -> DataFrame:
+    """doc_id, fp, more columns of docs, part (a fingerprint that tells the component) and component_id of every row."""
+    prints = work.write(docs.select("doc_id", fingerprints("text").alias("fp"), *more))
+    different = work.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = connected_components(work, work.write(_links(work, different.select("fp"), hot_bucket)))
+    parts = work.write(different.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("part")))
+    least = work.write(parts.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
+    told = work.write(skew_join(parts, least, ["part"], "m").select("fp", "n", "part", "component_id"))
+    return skew_join(prints, told, ["fp"], "n").drop("n")
 
 
 def _links(work: Workspace, different: DataFrame, hot_bucket: int) -> DataFrame:
-    """Links (a, b) between representatives; enough of them for the components."""
+    """Links (a, b) between fingerprints; enough of them for the components."""
     high = F.shiftrightunsigned("fp", 32)
     low = F.col("fp").bitwiseAND(0xFFFFFFFF)
     segments = F.array(F.struct(F.lit(0).alias("seg"), high.alias("val")), F.struct(F.lit(1).alias("seg"), low.alias("val")))
-    entries = different.select("fp", "rep", F.inline(segments))
+    entries = different.select("fp", F.inline(segments))
     sizes = work.write(entries.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket))
-    cold = entries.join(sizes, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
-    index = work.write(cold.union(sizes.select("seg", "val", F.lit(None).cast("long"), F.lit(None).cast("long"))))
+    cold = entries.join(sizes, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("fp_b"))
+    index = work.write(cold.union(sizes.select("seg", "val", F.lit(None).cast("long"))))
     ball = F.expr("concat(array(val), transform(filter(sequence(0, 31), i -> getbit(val, i) = 0), i -> val | shiftleft(1L, i)))")
-    probes = entries.select("seg", F.explode(ball).alias("val"), "fp", "rep")
+    probes = entries.select("seg", F.explode(ball).alias("val"), "fp")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= 2
     met = work.write(
         probes.join(index, ["seg", "val"])
         .where(F.col("fp_b").isNull() | (near & (F.col("fp") != F.col("fp_b"))))
-        .select("fp", F.col("rep").alias("a"), "b")
+        .select("fp", "fp_b")
     )
-    hot = met.where("b is null").select("fp", F.col("a").alias("rep")).distinct()
+    hot = met.where("fp_b is null").select("fp").distinct()
     points = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    around = work.write(hot.select("rep", F.explode(points).alias("point")))
-    centre = work.write(around.groupBy("point").agg(F.min("rep").alias("m"), F.count("*").alias("n")).where("n > 1").select("point", "m"))
-    by_midpoint = around.join(centre, "point").where("rep != m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    return met.where("b is not null").select("a", "b").union(by_midpoint).distinct()
+    around = work.write(hot.select("fp", F.explode(points).alias("point")))
+    centre = work.write(around.groupBy("point").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1").select("point", "m"))
+    by_midpoint = around.join(centre, "point").where("fp != m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    return met.where("fp_b is not null").select(F.col("fp").alias("a"), F.col("fp_b").alias("b")).union(by_midpoint).distinct()
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_components() of all documents, with fingerprints in hexadecimal digits."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -42,3 +42,11 @@ def test_documents(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert T.op8_separator_scan(spark, str(tmp_path)).count() == 0
+
+
+def test_ids_beside_a_null_keep_all_digits(spark, tmp_path):
+    ids = [9007199254740993, None, 9007199254740995, -(2**63), 2**63 - 1]
+    spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id for r in T.op8_separator_scan(spark, str(tmp_path)).collect()), key=str) == sorted(ids, key=str)
+    flat = T.write_flat(spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string"), Workspace(spark, "t"))
+    assert sum((r.ids for r in flat.where("data is null").orderBy("file").collect()), []) in (["x", None], [None, "x"])

@@ -66,3 +66,14 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id) for r in S.simhash_components(docs).collect())
     assert got == [(-1, 5), (5, 5), (5, 5), (7, 7)]
+
+
+@pytest.mark.parametrize("hot", [1, 48])
+def test_rows_without_ids_link_others(spark, monkeypatch, hot):
+    """1 and 3 are within 2 bits of the nameless row only."""
+    monkeypatch.setattr(S, "fingerprint", lambda t: int(t))
+    prints = S.pandas_udf(S.LongType())(lambda texts: texts.astype("int64"))
+    monkeypatch.setattr(S, "fingerprints", prints)
+    docs = spark.createDataFrame([(3, "15"), (None, "3"), (1, "0"), (None, "4096"), (None, "1048575"), (9, "-1")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in S.simhash_components(docs, hot).collect()), key=lambda r: r[1])
+    assert got == [(9, -1, 9), (1, 0, 1), (None, 3, 1), (3, 15, 1), (None, 4096, 1), (None, 1048575, None)]
