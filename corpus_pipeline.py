@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmine.llm.common import Workspace, bounded_broadcast, table
+from parchmine.llm.common import Workspace, row_key, table
 from parchmine.llm.fertility import judged, measured
 from parchmine.llm.lines import dedup_lines
 from parchmine.llm.mixing import mix
 from parchmine.llm.pieces import encode_digests
-from parchmine.llm.simhash import fingerprints, simhash_components
+from parchmine.llm.simhash import HOT_BUCKET, components
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    rows = judged(Workspace(spark, "quality").write(measured(docs)))
-    return rows.where("quality_kept").select(docs.columns)
+    """The documents that the quality rules keep, with all their columns, whatever their names."""
+    packed = docs.select(F.struct(*columns(docs)).alias("document"), "text", "lang")
+    rows = judged(Workspace(spark, "quality").write(measured(packed).drop("text")))
+    return rows.where("quality_kept").select("document.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,23 +30,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id.
+    """One document of each SimHash component: the one with the smallest doc_id, or one without where none has any.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id go if a document with
-    one has their fingerprint; of the others, one stays for each fingerprint.
+    Rows that share a doc_id but not a text are documents of their own; of those in one component, the one with the
+    smallest row_key() stays. Of rows that repeat both, one stays.
     """
-    work = Workspace(spark, "near")
-    found = work.write(simhash_components(docs))
-    gone = work.write(found.where("doc_id != component_id").select("doc_id").distinct())
-    again = work.write(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    gone, again = (bounded_broadcast(x, x.count(), 1_000_000) for x in (gone, again))
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if found.where("doc_id is null").limit(1).count():
-        known = found.where("doc_id is not null").select(F.col("fp").alias("_parchmine_fp"))
-        nameless = docs.where("doc_id is null").withColumn("_parchmine_fp", fingerprints("text"))
-        once = once.select(docs.columns).union(nameless.join(known, "_parchmine_fp", "left_anti").dropDuplicates(["_parchmine_fp"]).select(docs.columns))
-    return once.select(docs.columns)
+    work, place = Workspace(spark, "near"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    found = components(work, docs, HOT_BUCKET, row_key().alias("k"))
+    rows = found.groupBy("part", "k").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    first = rows.groupBy("part").agg(F.min(F.struct("place", "n")).alias("first"))
+    kept = work.write(first.select(F.col("first.place.k").alias("_parchmine_k"), F.col("first.n").alias("_parchmine_n")))
+    known = docs.withColumn("_parchmine_k", row_key()).join(kept.hint("merge"), "_parchmine_k")
+    out = known.where("_parchmine_n = 1")
+    if kept.where("_parchmine_n > 1").limit(1).count():
+        out = out.unionByName(known.where("_parchmine_n > 1").dropDuplicates(["_parchmine_k"]))
+    return out.select(columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
