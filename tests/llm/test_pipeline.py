@@ -34,3 +34,23 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in rows[3]} == set(ids) and len(rows[3]) >= len(ids)
     assert len(rows[4]) == len(rows[3])
     assert sorted(map(tuple, C.run(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, rows[4]), key=str)
+
+
+def test_clashing_columns_and_repeated_ids(spark, tmp_path):
+    docs = documents(spark)
+    for name in ("quality_kept", "quality_rules", "a.b", "k", "fp", "document"):
+        docs = docs.withColumn(name, docs["doc_id"] * 2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in C.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r[n] == (None if r.doc_id is None else 2 * r.doc_id) for r in out.collect() for n in ("quality_kept", "a.b", "k", "fp", "document"))
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    one, two, three = ("alpha beta gamma " * 30, "delta epsilon zeta eta " * 30, "theta iota kappa lambda mu " * 30)
+    rows = [(1, one), (1, two), (2, one), (None, two), (None, three), (None, three), (5, ""), (6, None)]
+    got = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, one), (1, two), (None, three), (5, "")], key=str)
+    assert C.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
