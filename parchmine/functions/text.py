@@ -13,17 +13,18 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, MapType, StringType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, MapType, StringType, StructType
 
 #: Bounds of the hashed text features.
 SLOTS, MOST_WORDS, MOST_CHARS = 512, 8192, 8192
 
 
 def column(function: Callable, kind: DataType) -> Callable[..., Column]:
-    """A pandas UDF that applies function to each row."""
+    """A pandas UDF that applies function to each row; for a struct, function returns a dictionary of its fields."""
 
     def rows(*series):
-        return pd.Series([function(*row) for row in zip(*series)], dtype="object")
+        found = [function(*row) for row in zip(*series)]
+        return pd.DataFrame(found, columns=kind.names) if isinstance(kind, StructType) else pd.Series(found, dtype="object")
 
     def one(a: pd.Series) -> pd.Series:
         return rows(a)
@@ -35,7 +36,10 @@ def column(function: Callable, kind: DataType) -> Callable[..., Column]:
 
 
 def plain(text: str) -> str:
-    """The text without tags, images (their alternative text stays), link targets and emphasis marks."""
+    """The text without tags, images (their alternative text stays), link targets and emphasis marks.
+
+    Fixed values: the four patterns, which decide what counts as markup.
+    """
     for pattern, new in ((r"<[^>]+>", ""), (r"!\[([^]]*)\]\([^)]+\)", r"\1"), (r"\[([^]]+)\]\([^)]+\)", r"\1"), (r"\*\*|__|`", "")):
         text = re.sub(pattern, new, text)
     return text.strip().strip("*_")

@@ -34,9 +34,10 @@ def test_repair():
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([("/ABCDEF+Arial-Identity-H", "1 a", ["x", "y"])], "f string, h string, l array<string>")
+    df = spark.createDataFrame([("/ABCDEF+Arial-Identity-H", "1 a", ["go", "on"])], "f string, h string, l array<string>")
     r = df.select(E.font_key(F.col("f")).alias("f"), E.prefix_and_body_of("h").alias("h"), E.unwrapped_of("l").alias("l")).first()
-    assert (r.f, r.h.prefix, r.l) == ("arial", "1", ["x y"])
+    assert (r.f, r.h.prefix, r.l) == ("arial", "1", ["go on"])
+    assert E.unwrapped(["x", "y"]) == ["x", "y"]  # a Roman numeral ends an entry
     kind = "array<struct<type:string,text:string,bbox:array<double>>>"
     pages = spark.createDataFrame([(1, [("paragraph", "Chapter 1", [0.0, 0.2, 1.0, 0.25]), ("title", "Start", [0.0, 0.3, 1.0, 0.35])]), (2, [("paragraph", "Chapter 1", [0.0, 0.6, 1.0, 0.65]), ("title", "Start", [0.0, 0.7, 1.0, 0.75])]), (3, [])], f"id int, b {kind}")
     assert [x[0] for x in pages.orderBy("id").select(E.split_chapter(F.col("b"), F.lit(1.0))).collect()] == [True, False, False]

@@ -107,7 +107,7 @@ def page(doc, n, *blocks):
 
 def test_page_kinds_and_regions(spark):
     index = "\n".join(f"Topic {i} ..... {i}" for i in range(8))
-    rows = page("d", 1, ("paragraph", "A book")) + page("d", 2, ("title", "目录 / Contents"), ("index", index)) + page("d", 3, ("index", index)) + page("d", 4, ("title", "Abstract")) + page("d", 5, ("index", index)) + page("d", 6, ("title", "Chapter 1 Start")) + page("d", 7, ("paragraph", "nothing here"))
+    rows = page("d", 1, ("title", "A book")) + page("d", 2, ("title", "目录 / Contents"), ("index", index)) + page("d", 3, ("index", index)) + page("d", 4, ("title", "Abstract")) + page("d", 5, ("index", index)) + page("d", 6, ("title", "Chapter 1 Start")) + page("d", 7, ("paragraph", "nothing here"))
     df = spark.createDataFrame(rows, "doc string, page long, pos int, type string, text string")
     kinds = regions.classify_pages(df)
     assert [r.kind for r in kinds.orderBy("page").collect()] == ["cover", "contents", "contents", "abstract", "contents", "body_start", "other_front"]
@@ -115,8 +115,46 @@ def test_page_kinds_and_regions(spark):
     assert got["contents", 2, 3] == pytest.approx(0.95, abs=0.011) and ("contents", 5, 5) in got
 
 
+def test_rules():
+    entry = lambda i: f"Topic {i} ..... {i}"
+    spaced = [f"Subject {'abcdefgh'[i]} {i + 3}" for i in range(8)]
+    assert regions.rule(3, [("index", entry(1) + "\n" + entry(2)), ("paragraph", "x")], None) == ("contents", 0.68, "index without heading")
+    assert regions.rule(3, [("index", "\n".join(map(entry, range(8))))], None) == ("contents", 0.92, "dense index")
+    assert regions.rule(3, [("index", "\n".join(map(entry, range(8))))], "list_of_tables")[:2] == ("list_of_tables", 0.92)
+    assert regions.rule(3, [("title", "Contents"), ("index", entry(1))], None) == ("contents", 0.98, "title")
+    assert regions.rule(3, [("page_header", "Contents"), ("list", "\n".join(spaced))], None) == ("contents", 0.95, "page header")
+    assert regions.rule(3, [("page_header", "Contents"), ("list", "\n".join(["no page here"] * 3 + spaced[:5]))], None)[2] != "page header"
+    assert regions.rule(1, [("paragraph", "A book")], None) == ("other_front", 0.35, "nothing")
+    assert regions.rule(1, [("title", "A book")], None) == ("cover", 0.68, "first page")
+    assert regions.rule(1, [("title", "A book"), ("paragraph", "x" * 1300)], None)[0] == "other_front"
+    assert regions.rule(2, [("paragraph", "a"), ("paragraph", "b"), ("paragraph", "Introduction")], None)[0] == "other_front"
+    assert regions.rule(2, [("paragraph", "a"), ("paragraph", "Introduction")], None) == ("body_start", 0.74, "body paragraph")
+    assert regions.rule(2, [("paragraph", "a"), ("paragraph", "b"), ("paragraph", "Abstract")], None) == ("abstract", 0.91, "leading keyword")
+    assert regions.rule(2, [("title", "Chapter Ten Ends")], None) == ("body_start", 0.9, "body title")
+    assert regions.rule(2, [("paragraph", "x")], None, split=True) == ("body_start", 0.94, "split chapter")
+    manual = [("title", "手册"), ("title", "一、概述"), ("paragraph", "字" * 31), ("title", "二、安装"), ("paragraph", "字" * 20)]
+    assert regions.rule(1, manual, None) == ("body_start", 0.94, "short manual") and regions.rule(2, manual, None)[2] != "short manual"
+    assert regions.rule(4, [("index", entry(1) + "\n" + entry(2))], "list_of_figures") == ("list_of_figures", 0.78, "continuation")
+
+
+def test_mixed_pages_seed_the_next_and_chapters_split(spark):
+    rows = page("d", 1, ("title", "Abstract"), ("paragraph", "prose"), ("title", "List of Tables"), ("paragraph", "1 First 3 2 Second 7")) + page("d", 2, ("index", "A thing ..... 9\nB thing ..... 10"))
+    df = spark.createDataFrame(rows, "doc string, page long, pos int, type string, text string")
+    assert [(r.kind, r.strength) for r in regions.classify_pages(df).orderBy("page").collect()] == [("abstract", 0.97), ("list_of_tables", 0.78)]
+    boxes = [("e", 5, 0, "paragraph", "Chapter 1", [0.0, 0.2, 1.0, 0.25], 1.0), ("e", 5, 1, "title", "Start", [0.0, 0.3, 1.0, 0.35], 1.0)]
+    df = spark.createDataFrame(boxes, "doc string, page long, pos int, type string, text string, bbox array<double>, height double")
+    assert regions.classify_pages(df).first().reason == "split chapter"
+
+
+def test_cascade_asks_for_evidence(spark):
+    rows = [("d", 1, "contents", 0.69, "continuation without entries"), ("d", 2, "contents", 0.78, "continuation"), ("d", 3, "contents", 0.68, "index without heading"), ("d", 4, "body_start", 0.94, "short manual"), ("d", 5, "contents", 0.62, "debris")]
+    kinds = spark.createDataFrame(rows, "doc string, page long, kind string, strength double, reason string")
+    none = spark.createDataFrame([], "doc string, page long, top string, p1 double, p2 double, ood boolean")
+    assert [r.stage for r in regions.cascade(kinds, none, none).orderBy("page").collect()] == ["abstain", "rule", "abstain", "rule", "abstain"]
+
+
 def test_cascade(spark):
-    kinds = spark.createDataFrame([("d", i, k, s, "") for i, (k, s) in enumerate([("abstract", 0.97), ("other_front", 0.35), ("other_front", 0.35), ("other_front", 0.35), ("other_front", 0.35)])], "doc string, page long, kind string, strength double, reason string")
+    kinds = spark.createDataFrame([("d", i, k, s, "title" if s > 0.9 else "nothing") for i, (k, s) in enumerate([("abstract", 0.97), ("other_front", 0.35), ("other_front", 0.35), ("other_front", 0.35), ("other_front", 0.35)])], "doc string, page long, kind string, strength double, reason string")
     schema = "doc string, page long, top string, p1 double, p2 double, ood boolean"
     layout = spark.createDataFrame([("d", 1, "legal", 0.9, 0.05, False), ("d", 2, "legal", 0.5, 0.4, False), ("d", 3, "legal", 0.5, 0.4, True)], schema)
     text = spark.createDataFrame([("d", 2, "preface", 0.9, 0.05, False), ("d", 3, "legal", 0.4, 0.3, False)], schema)
