@@ -67,9 +67,9 @@ def text_of(column: str = "text") -> Column:
 
 
 def row_key() -> Column:
-    """128 bits that tell a row by its doc_id and text; rows that repeat both share it."""
-    name = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
-    return F.unhex(F.md5(F.concat(name, F.lit("\0"), text_of())))
+    """128 bits that tell a row by its doc_id and text; rows that repeat both share it, and a null text counts as empty."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id"), text_of()]
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)]))
 
 
 #: A key is heavy if it has more than this share of all rows, so that at most HEAVY keys are.

@@ -192,9 +192,10 @@ def _bands(batches):
     """Band keys and line hashes of a task's texts; a line that the task has met lately is left out."""
     seen: set[int] = set()
     for batch in batches:
-        for at in range(0, len(batch), 64):
+        texts = batch.column(0).to_pylist()
+        for at in range(0, len(texts), 64):
             new: dict[int, str] = {}
-            for text in batch["text"].iloc[at : at + 64]:
+            for text in texts[at : at + 64]:
                 for line in (text or "").split("\n"):
                     line = line.strip(SPACES)
                     if len(line) >= SHINGLE:
@@ -203,8 +204,9 @@ def _bands(batches):
                             seen.add(h)
                             new[h] = line
             if new:
-                keys = band_keys(list(new.values()))
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(np.array(list(new), np.uint64), BANDS).view(np.int64)})
+                nodes = np.fromiter(new, np.uint64, len(new)).view(np.int64)
+                keys = band_keys(list(new.values())).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(nodes, BANDS))], ["key", "node"])
             if len(seen) > 400_000:
                 seen.clear()
 
@@ -230,45 +232,52 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _shared_keys(batches):
-    """key, node, rep of the keys with several nodes, from a task's rows, which come sorted by key and node."""
-    held = None  # the last key so far, its first and its last node, and whether its rows went out
+    """key, node, rep of the keys with several nodes, from a task's rows, which come sorted by key; rep is one of the nodes."""
+    held = None  # the last key so far, its rep, a node of it, and whether its rows went out
     for batch in batches:
         key, node = (batch.column(i).to_numpy() for i in range(2))
         if held:
             key, node = np.append(held[0], key), np.append(held[2], node)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
         key, node = key[fresh], node[fresh]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         rep, many = node[start], size > 1
+        at = int(np.searchsorted(key, held[0])) if held else 0
+        rows = np.ones(len(key), bool)
         if held:
-            rep[0], many[0] = held[1], many[0] | held[3]
-        rows = np.repeat(many, size)
-        if held and held[3]:
-            rows[0] = False
-        held = key[-1], rep[-1], node[-1], many[-1]
+            g = int(np.searchsorted(start, at))
+            rep[g] = held[1]
+            if held[3]:
+                many[g] = True
+                rows[at : at + size[g]] = node[at : at + size[g]] != held[2]
+        rows &= np.repeat(many, size)
+        held = key[-1], rep[-1], node[-1], bool(many[-1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[rows], node[rows], np.repeat(rep, size)[rows])], ["key", "node", "rep"])
 
 
 def _buckets(work: Workspace, docs: DataFrame) -> DataFrame:
-    """key, node, rep: the lines of each band's key that several different lines share, and the least of them.
+    """key, node, rep: the lines of each band's key that several different lines share, and one of them that stands for
+    all. A line can come more than once.
 
     Keys with more than a thousandth of all rows, as a sample tells (a wrong guess changes only how a key's rows are
     combined), stay where they are and are combined before they are shuffled; all others are shuffled and sorted once.
     """
-    keyed = work.write(docs.select("text").mapInPandas(_bands, "key long, node long"))
+    keyed = work.write(docs.select("text").mapInArrow(_bands, "key long, node long"))
     share = 0.02
     least = max(50, keyed.count() * share / HEAVY)
     often = [r.key for r in keyed.sample(share, 7).groupBy("key").count().where(F.col("count") > least).select("key").collect()]  # HEAVY keys at most
     heavy = F.col("key").isin(often)
     light = keyed.where(~heavy) if often else keyed
-    light = light.repartition(_partitions(docs), "key").sortWithinPartitions("key", "node")
+    light = light.repartition(_partitions(docs), "key").sortWithinPartitions("key")
     stars = light.mapInArrow(_shared_keys, "key long, node long, rep long")
     if often:
         hot = keyed.where(heavy)
         ends = hot.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").drop("top")
-        stars = stars.unionByName(hot.distinct().join(F.broadcast(ends), "key"))
-    out = work.write(stars)
+        stars = stars.unionByName(hot.join(F.broadcast(ends), "key"))
+    out = work.write(stars.distinct())
     work.drop(keyed)
     return out
 

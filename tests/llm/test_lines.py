@@ -116,14 +116,16 @@ def test_queries_columns_match_brute_force(spark, tmp_path):
 
 def test_shared_keys_over_any_batches():
     rng = random.Random(8)
-    rows = sorted((rng.randrange(40), rng.randrange(4)) for _ in range(300))
+    rows = sorted(((rng.randrange(-20, 20), rng.randrange(4)) for _ in range(300)), key=lambda r: r[0])
     nodes = {}
     for k, n in rows:
         nodes.setdefault(k, set()).add(n)
-    want = sorted((k, n, min(ns)) for k, ns in nodes.items() if len(ns) > 1 for n in ns)
+    want = sorted((k, n) for k, ns in nodes.items() if len(ns) > 1 for n in ns)
     for step in (1, 2, 7, 1000):
         batches = [L.pa.RecordBatch.from_arrays([L.pa.array(c) for c in zip(*rows[i : i + step])], ["key", "node"]) for i in range(0, 300, step)]
-        assert sorted(zip(*(sum((b.column(c).to_pylist() for b in L._shared_keys(iter(batches))), []) for c in range(3)))) == want
+        got = list(zip(*(sum((b.column(c).to_pylist() for b in L._shared_keys(iter(batches))), []) for c in range(3))))
+        assert sorted({g[:2] for g in got}) == want
+        assert len({(k, r) for k, _, r in got}) == len({k for k, _ in want}) and all(r in nodes[k] for k, _, r in got)
 
 
 def test_exact_hashes_tell_shingles_apart():
