@@ -44,6 +44,9 @@ ENTRIES = """
 SELECT doc_id, pos, CAST(doc_id % 9 + 1 AS @STR) || '.' || CAST(pos + 1 AS @STR) || ' ' || substring(line, 1, 24) || CASE WHEN pos % 5 = 4 THEN '' ELSE ' ..... ' || CAST(doc_id % 90 + pos AS @STR) END AS line
 FROM {lines} WHERE length(line) > 20 AND pos < 12"""
 
+#: 81 temperatures from 0.35 to 4 in equal ratios, to six places.
+TEMPERATURES = " UNION ALL ".join(f"SELECT CAST({0.35 * (4 / 0.35) ** (i / 80):.6f} AS DOUBLE) AS temperature" for i in range(81))
+
 SHA = "'00' || md5(CAST(doc_id % 40 AS @STR))"
 SELECTIONS = "SELECT doc_id % 40 AS source, doc_id AS idx, 1 + doc_id % 30 AS first, 1 + doc_id % 30 + doc_id % 11 AS last FROM {pages}"
 LABELLED = "SELECT doc_id, doc_id % 40 AS source, 1 + (doc_id * 7) % 36 AS page, gold FROM {judged}"
@@ -62,7 +65,7 @@ P = {
     "benchmark_term_search": (
         ["A09"], ["pages", "words", "benchmark"],
         """SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM (
-          SELECT q.item_id, w.doc_id, CAST(sum(least(w.n, 5)) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, word FROM (SELECT item_id, split_part(lower(text), ' ', 1) AS word FROM {benchmark} UNION ALL SELECT item_id, split_part(lower(text), ' ', 4) FROM {benchmark} UNION ALL SELECT item_id, split_part(lower(text), ' ', 7) FROM {benchmark}) u WHERE word <> '') q
+          SELECT q.item_id, w.doc_id, CAST(sum(least(w.n, 5)) AS BIGINT) AS score FROM (SELECT DISTINCT item_id, word FROM (SELECT item_id, @WORDS AS word FROM {benchmark}) u WHERE word <> '') q
           JOIN (SELECT doc_id, word, count(*) AS n FROM {words} GROUP BY doc_id, word) w ON q.word = w.word GROUP BY q.item_id, w.doc_id) s) t WHERE r <= 8""",
     ),
     "source_inspect": (
@@ -132,7 +135,7 @@ P = {
     "first_body_page": (["W02", "W04", "C12"], ["pages"], "SELECT doc, page, lang FROM (SELECT doc, page, lang, coalesce(sum(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {pages}) t WHERE before = 0"),
     "separated_runs": (["W12", "J22"], ["pages"], "SELECT doc, lang, count(*) AS runs FROM (SELECT doc, lang, island, count(*) AS n FROM (SELECT doc, page, lang, page - row_number() OVER (PARTITION BY doc, lang ORDER BY page) AS island FROM {pages}) t GROUP BY doc, lang, island) u WHERE n >= 2 GROUP BY doc, lang HAVING count(*) >= 2"),
     "structured_runs": (["W14"], ["turns"], "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM {turns}"),
-    "monotone_pages": (["W07", "W06"], ["pages"], "SELECT doc, bool_and(previous IS NULL OR previous <= n_chars) AS monotone, count_if(previous > n_chars) AS breaks FROM (SELECT doc, n_chars, lag(n_chars) OVER (PARTITION BY doc ORDER BY page) AS previous FROM {pages}) t GROUP BY doc"),
+    "monotone_pages": (["W07"], ["pages"], "SELECT doc, bool_and(previous IS NULL OR previous <= n_chars) AS monotone, count_if(previous > n_chars) AS breaks FROM (SELECT doc, n_chars, lag(n_chars) OVER (PARTITION BY doc ORDER BY page) AS previous FROM {pages}) t GROUP BY doc"),
     "isolated_unsupported": (["W08"], ["judged"], "SELECT doc, doc_id FROM (SELECT doc, doc_id, accepted, lag(accepted) OVER (PARTITION BY doc ORDER BY doc_id) AS a, lead(accepted) OVER (PARTITION BY doc ORDER BY doc_id) AS b FROM {judged}) t WHERE NOT accepted AND a AND b"),
     "previous_heading": (["W10"], ["lines"], "SELECT doc_id, pos, max(CASE WHEN length(line) < 80 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading_pos FROM {lines}"),
     # navigation
@@ -161,10 +164,10 @@ P = {
     "roc_auc": (["A20", "W17"], ["judged"], "SELECT round((sum(CASE WHEN gold = 1 THEN r END) - CAST(count_if(gold = 1) AS DOUBLE) * (count_if(gold = 1) + 1) / 2) / (CAST(count_if(gold = 1) AS DOUBLE) * count_if(gold = 0)), 6) AS auc FROM (SELECT j.gold, b.below + (b.ties + 1) / CAST(2 AS DOUBLE) AS r FROM {judged} j JOIN (SELECT prob, ties, CAST(coalesce(sum(ties) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS below FROM (SELECT prob, count(*) AS ties FROM {judged} GROUP BY prob) t) b ON j.prob = b.prob) u"),
     "average_precision": (["A20"], ["judged"], "SELECT round(sum(pos * (tp / CAST(n AS DOUBLE))) / sum(pos), 6) AS ap FROM (SELECT pos, sum(pos) OVER (ORDER BY prob DESC) AS tp, sum(ties) OVER (ORDER BY prob DESC) AS n FROM (SELECT prob, count(*) AS ties, CAST(sum(gold) AS DOUBLE) AS pos FROM {judged} GROUP BY prob) t) u"),
     "brier": (["A19", "A20"], ["judged"], "SELECT round(avg((prob - gold) * (prob - gold)), 6) AS brier FROM {judged}"),
-    "ece": (["A19"], ["judged"], "SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM (SELECT b.low, CAST(count(*) AS DOUBLE) AS n, avg(CAST(j.gold AS DOUBLE)) AS acc, avg(j.prob) AS conf FROM {judged} j JOIN (SELECT CAST(i AS DOUBLE) / 10 AS low FROM (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) d) b ON j.prob >= b.low AND j.prob < b.low + CAST(0.1 AS DOUBLE) + CAST(1e-12 AS DOUBLE) GROUP BY b.low) t"),
+    "ece": (["A19"], ["judged"], "SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM (SELECT least(9, floor(prob * CAST(10 AS DOUBLE))) AS bin, CAST(count(*) AS DOUBLE) AS n, avg(CAST(gold AS DOUBLE)) AS acc, avg(prob) AS conf FROM {judged} GROUP BY least(9, floor(prob * CAST(10 AS DOUBLE)))) t"),
     "coverage_risk": (["A19"], ["judged"], "SELECT t.threshold, count_if(conf >= t.threshold) AS accepted, round(count_if(conf >= t.threshold AND gold <> pred) / CAST(nullif(count_if(conf >= t.threshold), 0) AS DOUBLE), 6) AS risk FROM (SELECT gold, pred, greatest(prob, 1 - prob) AS conf FROM {judged}) j JOIN (SELECT CAST(0.5 AS DOUBLE) AS threshold UNION ALL SELECT CAST(0.6 AS DOUBLE) UNION ALL SELECT CAST(0.7 AS DOUBLE) UNION ALL SELECT CAST(0.8 AS DOUBLE) UNION ALL SELECT CAST(0.9 AS DOUBLE)) t ON t.threshold > 0 GROUP BY t.threshold"),
     "threshold_policy": (["A21"], ["judged"], "SELECT min(prob) AS threshold, max(n) AS accepted FROM (SELECT prob, n, tp / CAST(n AS DOUBLE) AS precision_ FROM (SELECT prob, sum(ties) OVER (ORDER BY prob DESC) AS n, sum(pos) OVER (ORDER BY prob DESC) AS tp FROM (SELECT prob, count(*) AS ties, CAST(sum(gold) AS BIGINT) AS pos FROM {judged} GROUP BY prob) t) u) v WHERE n >= 5 AND precision_ >= 0.995".replace("max(n) AS accepted", "CAST(max(n) AS BIGINT) AS accepted")),
-    "temperature_grid": (["A25"], ["judged"], "SELECT temperature, round(nll, 6) AS nll, rank_ = 1 AS best FROM (SELECT temperature, nll, row_number() OVER (ORDER BY round(nll, 9), temperature) AS rank_ FROM (SELECT g.temperature, avg(ln(1 + exp(CASE WHEN gold = 1 THEN -z ELSE z END / g.temperature))) AS nll FROM (SELECT gold, ln(prob / (CAST(1.05 AS DOUBLE) - prob)) AS z FROM {judged}) j JOIN (SELECT CAST(0.35 AS DOUBLE) AS temperature UNION ALL SELECT CAST(0.7 AS DOUBLE) UNION ALL SELECT CAST(1 AS DOUBLE) UNION ALL SELECT CAST(2 AS DOUBLE) UNION ALL SELECT CAST(4 AS DOUBLE)) g ON g.temperature > 0 GROUP BY g.temperature) t) u"),
+    "temperature_grid": (["A25"], ["judged"], f"SELECT temperature, round(nll, 6) AS nll, rank_ = 1 AS best FROM (SELECT temperature, nll, row_number() OVER (ORDER BY round(nll, 9), temperature) AS rank_ FROM (SELECT g.temperature, avg(ln(1 + exp(CASE WHEN gold = 1 THEN -z ELSE z END / g.temperature))) AS nll FROM (SELECT gold, ln(greatest(prob, CAST(1e-6 AS DOUBLE)) / greatest(1 - prob, CAST(1e-6 AS DOUBLE))) AS z FROM {{judged}}) j JOIN ({TEMPERATURES}) g ON g.temperature > 0 GROUP BY g.temperature) t) u"),
     "split_summary": (["A27", "F20"], ["judged"], "SELECT split, count(*) AS labels, count(DISTINCT doc) AS docs, count_if(gold = 1) AS positive FROM (SELECT *, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'calibration' ELSE 'test' END AS split FROM (SELECT *, @SPLITHASH AS h FROM {judged}) a) b GROUP BY split"),
     "review_rank": (["T03", "T07"], ["judged"], "SELECT doc_id, doc, prob, rank_ FROM (SELECT doc_id, doc, prob, row_number() OVER (ORDER BY abs(prob - CAST(0.5 AS DOUBLE)), doc, doc_id) * CAST(1 AS BIGINT) AS rank_ FROM {judged} WHERE NOT accepted OR abs(prob - 0.5) <= 0.2) t WHERE rank_ <= 500"),
     "priority_pick": (["T07", "D24"], ["judged"], "SELECT doc, doc_id, priority FROM (SELECT doc, doc_id, priority, row_number() OVER (PARTITION BY doc ORDER BY priority DESC, doc_id) AS r FROM (SELECT doc, doc_id, CASE WHEN gold = 1 AND accepted THEN CAST(100 AS BIGINT) WHEN accepted THEN CAST(90 AS BIGINT) ELSE CAST(80 AS BIGINT) END AS priority FROM {judged}) a) t WHERE r = 1"),
@@ -174,36 +177,36 @@ P = {
     "corpus_select": (["P30", "J11"], ["pages"], "SELECT doc_id, doc, lang FROM {pages} WHERE lang IN ('en', 'de') OR doc_id % 50 = 7"),
     "selection_cover": (["J08", "J05"], ["pages", "judged"], f"SELECT doc_id, idx, first, last FROM (SELECT l.doc_id, s.idx, s.first, s.last, row_number() OVER (PARTITION BY l.doc_id ORDER BY s.last - s.first, s.idx) AS r FROM ({LABELLED}) l JOIN ({SELECTIONS}) s ON l.source = s.source AND l.page BETWEEN s.first AND s.last) t WHERE r = 1"),
     "context_selection": (["J10"], ["pages", "judged"], f"SELECT source, idx, CASE WHEN idx IS NULL THEN 'unavailable' WHEN last > first THEN 'context' ELSE 'isolated_fallback' END AS state FROM (SELECT l.source, s.idx, s.first, s.last, row_number() OVER (PARTITION BY l.source ORDER BY CASE WHEN s.last > s.first THEN 0 ELSE 1 END, s.last - s.first, s.idx) AS r FROM (SELECT source, min(page) AS lo, min(page) + 1 AS hi FROM ({LABELLED}) a GROUP BY source) l LEFT JOIN ({SELECTIONS}) s ON l.source = s.source AND s.first <= l.lo AND s.last >= l.hi) t WHERE r = 1"),
-    "bootstrap_anti": (["J12"], ["pages", "judged"], "SELECT p.doc_id, p.page FROM {pages} p @ANTI (SELECT doc_id FROM {judged} WHERE accepted) o ON p.doc_id = o.doc_id WHERE p.page <= 10"),
+    "bootstrap_anti": (["J12"], ["pages", "judged"], "SELECT p.doc_id, p.page FROM {pages} p @ANTI (SELECT doc_id FROM {judged} WHERE accepted) o ON p.doc_id = o.doc_id"),
     "review_export": (["J13"], ["pages", "judged"], "SELECT DISTINCT j.doc, p.lang, j.gold FROM {judged} j JOIN {pages} p ON j.doc_id = p.doc_id WHERE NOT j.accepted"),
     "schema_union": (["J26", "U05"], ["pages", "webpages"], "SELECT 'document' AS source_kind, doc_id AS id, n_chars AS size FROM {pages} UNION ALL SELECT 'page', page_id, CAST(length(html) AS BIGINT) FROM {webpages}"),
     "detector_block_match": (["J24"], ["blocks"], "SELECT a.page_id, a.pos, b.pos AS detection FROM (SELECT page_id, pos, type, length(body) AS n, row_number() OVER (PARTITION BY page_id, type, length(body) ORDER BY pos) AS k FROM {blocks}) a JOIN (SELECT page_id, pos, type, length(body) AS n, row_number() OVER (PARTITION BY page_id, type, length(body) ORDER BY pos) AS k FROM {blocks} WHERE pos % 3 <> 1) b ON a.page_id = b.page_id AND a.type = b.type AND a.n = b.n AND a.k = b.k"),
     "front_eval_rule": (["C16", "J11"], ["pages"], "SELECT doc, n, CASE WHEN toc IS NOT NULL THEN least(greatest(toc + 8, 12), 40, n) WHEN n > 30 THEN least(24, n) ELSE least(12, n) END AS last_page FROM (SELECT doc, count(*) AS n, max(CASE WHEN n_chars < 300 AND page <= 32 THEN page END) AS toc FROM {pages} GROUP BY doc) t"),
     "navigation_state": (["C17", "C13", "C14"], ["judged"], "SELECT j.doc_id, k.kind, CASE WHEN NOT j.accepted THEN 'abstain' WHEN (j.doc_id + k.kind) % 3 = 0 AND j.pred = 1 THEN 'present' ELSE 'absent' END AS state FROM {judged} j CROSS JOIN (SELECT CAST(0 AS BIGINT) AS kind UNION ALL SELECT CAST(1 AS BIGINT) UNION ALL SELECT CAST(2 AS BIGINT)) k"),
     "path_collisions": (["P27"], ["webpages"], "SELECT a.page_id, b.page_id AS other FROM {webpages} a JOIN {webpages} b ON regexp_extract(a.url, '^([^?#]+)', 1) = regexp_extract(b.url, '^([^?#]+)', 1) AND a.page_id < b.page_id"),
-    "run_similarity": (["J22", "U03"], ["words"], "SELECT a.doc_id, b.doc_id AS other, count(*) AS overlap FROM (SELECT DISTINCT doc_id, word FROM {words} WHERE length(word) > 14) a JOIN (SELECT DISTINCT doc_id, word FROM {words} WHERE length(word) > 14) b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 4"),
-    "profile_mapping": (["P07", "P06", "D02"], ["judged"], "SELECT doc_id, CASE gold WHEN 1 THEN 'hybrid' ELSE 'pipeline' END AS backend, CASE WHEN prob > 0.7 THEN 'high' WHEN prob > 0.3 THEN 'medium' ELSE 'low' END AS effort, accepted AND gold = 1 AS image_analysis FROM {judged}"),
+    "run_similarity": (["U03"], ["words"], "SELECT a.doc_id, b.doc_id AS other, count(*) AS overlap FROM (SELECT DISTINCT doc_id, word FROM {words} WHERE length(word) > 14) a JOIN (SELECT DISTINCT doc_id, word FROM {words} WHERE length(word) > 14) b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 4"),
+    "profile_mapping": (["P07", "D02"], ["judged"], "SELECT doc_id, CASE gold WHEN 1 THEN 'hybrid' ELSE 'pipeline' END AS backend, CASE WHEN prob > 0.7 THEN 'high' WHEN prob > 0.3 THEN 'medium' ELSE 'low' END AS effort, accepted AND gold = 1 AS image_analysis FROM {judged}"),
     "error_taxonomy": (["P37"], ["judged"], "SELECT doc_id, code, code IN ('TIMEOUT', 'SERVICE') AS retryable FROM (SELECT doc_id, CASE WHEN accepted THEN 'OK' WHEN gold = 1 THEN 'TIMEOUT' ELSE 'INVALID_PAGES' END AS code FROM {judged}) t"),
     "finite_checks": (["P08", "P29"], ["components"], "SELECT vec_id, count_if(x BETWEEN 0 AND 1) AS probabilities, bool_and(abs(x) <= 1e7) AS bounded FROM {components} GROUP BY vec_id"),
-    "model_approval": (["P22", "S28"], ["judged"], "SELECT doc, length(digest) = 64 AND digest = expected AND bool_and_ok AS approved FROM (SELECT doc, @SHA256(doc || '|' || CAST(sum(gold) AS @STR)) AS digest, @SHA256(doc || '|' || CAST(sum(pred) AS @STR)) AS expected, count_if(accepted) * 2 >= count(*) AS bool_and_ok FROM {judged} GROUP BY doc) t"),
-    "artifact_validation": (["P23", "S12", "S20"], ["components"], "SELECT label, count(DISTINCT feature) AS features, count(*) = count(DISTINCT feature) * count(DISTINCT vec_id) AS complete, max(abs(x)) < 1e6 AS finite, round(min(x), 6) AS low, round(max(x), 6) AS high FROM {components} GROUP BY label"),
-    "provenance_binding": (["P33", "S26"], ["judged", "pages"], "SELECT p.doc, count(*) AS pages, count(j.doc_id) AS labels, count(j.doc_id) <= count(*) * 3 AS bounded, count_if(j.gold = 1) AS present FROM {pages} p LEFT JOIN {judged} j ON p.doc_id = j.doc_id GROUP BY p.doc"),
-    "result_fields": (["P34", "S27", "S08"], ["pages"], "SELECT doc_id, substring(text, 1, 40) AS markdown, CAST(n_chars AS BIGINT) AS characters FROM {pages} WHERE n_chars > 0"),
+    "model_approval": ([], ["judged"], "SELECT doc, length(digest) = 64 AND digest = expected AND bool_and_ok AS approved FROM (SELECT doc, @SHA256(doc || '|' || CAST(sum(gold) AS @STR)) AS digest, @SHA256(doc || '|' || CAST(sum(pred) AS @STR)) AS expected, count_if(accepted) * 2 >= count(*) AS bool_and_ok FROM {judged} GROUP BY doc) t"),
+    "artifact_validation": (["P23"], ["components"], "SELECT label, count(DISTINCT feature) AS features, count(*) = count(DISTINCT feature) * count(DISTINCT vec_id) AS complete, max(abs(x)) < 1e6 AS finite, round(min(x), 6) AS low, round(max(x), 6) AS high FROM {components} GROUP BY label"),
+    "provenance_binding": ([], ["judged", "pages"], "SELECT p.doc, count(*) AS pages, count(j.doc_id) AS labels, count(j.doc_id) <= count(*) * 3 AS bounded, count_if(j.gold = 1) AS present FROM {pages} p LEFT JOIN {judged} j ON p.doc_id = j.doc_id GROUP BY p.doc"),
+    "result_fields": (["P34"], ["pages"], "SELECT doc_id, text AS markdown, CAST(n_chars AS BIGINT) AS characters FROM {pages} WHERE n_chars > 0"),
     "display_labels": (["P36"], ["lines"], "SELECT doc_id, pos, replace(replace(substring(trim(line), 1, 60), '[', '('), ']', ')') || CASE WHEN length(trim(line)) > 60 THEN '…' ELSE '' END AS label FROM {lines} WHERE trim(line) <> ''"),
     "navigation_by_page": (["J06", "D15"], ["links"], "SELECT page_id, kind, count(*) AS blocks, bool_and(length(href) <= 120) AS valid FROM (SELECT page_id, href, CASE WHEN length(href) < 5 THEN 'short' WHEN length(href) < 9 THEN 'middle' ELSE 'long' END AS kind FROM {links}) t GROUP BY page_id, kind"),
     "candidate_fields": (["F27", "D13"], ["judged"], "SELECT doc_id, CASE WHEN accepted THEN 'rule' WHEN gold = 1 THEN 'layout' ELSE 'text' END AS stage, coalesce(CASE WHEN accepted THEN prob END, 1 - prob) AS score, CASE WHEN @RLIKE('low_probability', '^[a-z_]{{1,40}}$') AND NOT accepted THEN 'low_probability' END AS reason FROM {judged}"),
     "candidate_blocks_added": (["C11"], ["lines"], "SELECT doc_id, count(*) AS blocks FROM (SELECT doc_id, line FROM {lines} WHERE pos <= 3 UNION SELECT doc_id, line FROM {lines} WHERE pos BETWEEN 2 AND 6) t GROUP BY doc_id"),
-    "report_cache": (["C15", "M06"], ["pages", "judged"], "SELECT p.doc_id, CASE WHEN j.doc_id IS NULL THEN 'miss' WHEN md5(p.text) = md5(p.text || CASE WHEN j.accepted THEN '' ELSE '!' END) THEN 'hit' ELSE 'stale' END AS state FROM {pages} p LEFT JOIN {judged} j ON p.doc_id = j.doc_id"),
-    "outline_hints": (["C19", "S14"], ["lines"], "SELECT doc_id, pos, CASE WHEN @RLIKE(lower(line), '^(chapter|part|1[. ])') THEN 'body_start' WHEN @RLIKE(lower(line), '^(the|der|le|el) ') THEN 'preface' WHEN pos = 0 THEN 'cover' END AS hint FROM {lines} WHERE pos <= 2"),
-    "structured_entries": (["M09", "M05"], ["lines"], f"SELECT doc_id, count(*) AS entries, count_if({NAV}) AS paged, 5 * count_if({NAV}) >= 3 * count(*) AND count(*) >= 3 AS trusted FROM ({ENTRIES}) e GROUP BY doc_id"),
-    "caption_targets": (["M12", "M13", "M15"], ["lines"], "SELECT a.doc_id, a.pos AS entry_pos, min(b.pos) AS caption_pos FROM (SELECT doc_id, pos, split_part(line, ' ', 1) AS k FROM {lines} WHERE pos < 3) a JOIN (SELECT doc_id, pos, split_part(line, ' ', 1) AS k FROM {lines} WHERE pos >= 3) b ON a.doc_id = b.doc_id AND a.k = b.k WHERE a.k <> '' GROUP BY a.doc_id, a.pos"),
-    "range_ownership": (["M11", "M08", "M14"], ["lines"], "SELECT doc_id, count(*) AS records, count_if(backed) AS supported, count(*) >= 3 AND 4 * count_if(backed) >= 3 * count(*) AS owned FROM (SELECT a.doc_id, a.pos, b.doc_id IS NOT NULL AS backed FROM {lines} a LEFT JOIN (SELECT doc_id, substring(line, 1, 10) AS k, min(pos) AS pos FROM {lines} WHERE length(line) >= 10 GROUP BY doc_id, substring(line, 1, 10)) b ON a.doc_id = b.doc_id AND substring(a.line, 1, 10) = b.k AND b.pos < a.pos WHERE length(a.line) >= 10) t GROUP BY doc_id"),
-    "section_notes": (["M16", "M18"], ["lines"], "SELECT doc_id, pos, line FROM {lines} WHERE length(trim(line)) BETWEEN 40 AND 240 AND NOT @RLIKE(line, '[0-9]$') AND @RLIKE(line, '[.]$')"),
-    "published_pages": (["M23", "M17", "U05"], ["pages"], "SELECT doc, page, CASE WHEN count(*) OVER (PARTITION BY doc) > 1 THEN '## Pages ' || CAST(page AS @STR) || chr(10) ELSE '' END || substring(text, 1, 80) AS markdown FROM {pages}"),
-    "bounded_log": (["X02", "S22"], ["events"], "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM {events}) t WHERE r <= 40"),
+    "report_cache": (["C15"], ["pages", "judged"], "SELECT p.doc_id, CASE WHEN j.doc_id IS NULL THEN 'miss' WHEN md5(p.text) = md5(p.text || CASE WHEN j.accepted THEN '' ELSE '!' END) THEN 'hit' ELSE 'stale' END AS state FROM {pages} p LEFT JOIN {judged} j ON p.doc_id = j.doc_id"),
+    "outline_hints": ([], ["lines"], "SELECT doc_id, pos, CASE WHEN @RLIKE(lower(line), '^(chapter|part|1[. ])') THEN 'body_start' WHEN @RLIKE(lower(line), '^(the|der|le|el) ') THEN 'preface' WHEN pos = 0 THEN 'cover' END AS hint FROM {lines} WHERE pos <= 2"),
+    "structured_entries": ([], ["lines"], f"SELECT doc_id, count(*) AS entries, count_if({NAV}) AS paged, 5 * count_if({NAV}) >= 3 * count(*) AND count(*) >= 3 AS trusted FROM ({ENTRIES}) e GROUP BY doc_id"),
+    "caption_targets": ([], ["lines"], "SELECT a.doc_id, a.pos AS entry_pos, min(b.pos) AS caption_pos FROM (SELECT doc_id, pos, split_part(line, ' ', 1) AS k FROM {lines} WHERE pos < 3) a JOIN (SELECT doc_id, pos, split_part(line, ' ', 1) AS k FROM {lines} WHERE pos >= 3) b ON a.doc_id = b.doc_id AND a.k = b.k WHERE a.k <> '' GROUP BY a.doc_id, a.pos"),
+    "range_ownership": ([], ["lines"], "SELECT doc_id, count(*) AS records, count_if(backed) AS supported, count(*) >= 3 AND 4 * count_if(backed) >= 3 * count(*) AS owned FROM (SELECT a.doc_id, a.pos, b.doc_id IS NOT NULL AS backed FROM {lines} a LEFT JOIN (SELECT doc_id, substring(line, 1, 10) AS k, min(pos) AS pos FROM {lines} WHERE length(line) >= 10 GROUP BY doc_id, substring(line, 1, 10)) b ON a.doc_id = b.doc_id AND substring(a.line, 1, 10) = b.k AND b.pos < a.pos WHERE length(a.line) >= 10) t GROUP BY doc_id"),
+    "section_notes": ([], ["lines"], "SELECT doc_id, pos, line FROM {lines} WHERE length(trim(line)) BETWEEN 40 AND 240 AND NOT @RLIKE(line, '[0-9]$') AND @RLIKE(line, '[.]$')"),
+    "published_pages": (["U05"], ["pages"], "SELECT doc, page, CASE WHEN count(*) OVER (PARTITION BY doc) > 1 THEN '## Pages ' || CAST(page AS @STR) || chr(10) ELSE '' END || text AS markdown FROM {pages}"),
+    "bounded_log": (["X02"], ["events"], "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM {events}) t WHERE r <= 40"),
     "event_progress": (["X03", "X07", "D26"], ["events"], "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {events}) t WHERE value IS NOT NULL AND (top IS NULL OR value > top)"),
     "event_terminal": (["X04"], ["events"], "SELECT user_id, event_type, count(*) AS events, round(max(value), 6) AS highest FROM {events} GROUP BY user_id, event_type"),
     "entry_digits": (["F09", "F11", "F33"], ["lines"], f"SELECT doc_id, pos, regexp_replace(regexp_extract(line, '([0-9 ]+)$', 1), ' ', ''@G) AS page, upper(regexp_extract(line, '^([0-9]+)', 1)) AS prefix FROM ({ENTRIES}) e"),
-    "repeated_sections": (["W15", "W13"], ["turns"], "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM {turns}) t WHERE before IS NULL OR before <> role"),
-    "leading_window": (["W03", "C04"], ["pages"], "SELECT doc, page, count_if(lang = 'en') OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead8, count_if(lang = 'en') OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS behind12 FROM {pages}".replace("count_if(lang = 'en') OVER", "count(CASE WHEN lang = 'en' THEN 1 END) OVER")),
+    "repeated_sections": (["W13"], ["turns"], "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM {turns}) t WHERE before IS NULL OR before <> role"),
+    "leading_window": ([], ["pages"], "SELECT doc, page, count_if(lang = 'en') OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead8, count_if(lang = 'en') OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS behind12 FROM {pages}".replace("count_if(lang = 'en') OVER", "count(CASE WHEN lang = 'en' THEN 1 END) OVER")),
 }

@@ -13,6 +13,7 @@ TOKENS = {
     "@ANTI": ("LEFT ANTI JOIN", "ANTI JOIN"),
     "@SEMI": ("LEFT SEMI JOIN", "SEMI JOIN"),
     "@QUANTILE": ("percentile", "quantile_cont"),
+    "@WORDS": ("explode(split(lower(text), ' '))", "unnest(string_split(lower(text), ' '))"),
     "@SPLITHASH": ("cast(cast(conv(substring(sha2('7|' || doc, 256), 1, 8), 16, 10) as bigint) % 100 as bigint)", "(('0x' || left(sha256('7|' || doc), 8))::UBIGINT % 100)::BIGINT"),
 }
 #: A function that takes one more argument in Spark.
