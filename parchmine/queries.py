@@ -84,7 +84,7 @@ STRICT_JSON = "SELECT event_id, CASE WHEN props IS NULL THEN 'null' WHEN NOT jso
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents as Markdown: a contents list of their lines, and the lines as headings."""
-    heads = F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 10), 1, 30), lambda x: F.rtrim(F.substring(x, 1, 40), F.lit(" .,!?|*-_()[]")))
+    heads = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 10), lambda x: F.rtrim(x, F.lit(" .,!?|*-_()[]")))
     entry = F.transform(F.col("h"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x, F.lit(" ..... "), (i + 3).cast("string")))
     head = F.transform(F.col("h"), lambda x, i: F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(" "), x, F.lit("\n\nText.")))
     docs = tables.table(spark, d, "documents").select("doc_id", heads.alias("h"))
