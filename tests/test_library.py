@@ -203,3 +203,20 @@ def test_progress_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.task, r.percent) for r in spark.table("progress").collect()) == [("a", 10.0), ("a", 75.0), ("a", 80.0), ("b", 100.0)]
+
+
+def test_hashed_features_match_a_token_by_token_sum():
+    import hashlib
+    import re
+
+    for text in (None, "", "Some text, some TEXT 目录 12", "a" * 9000, "naïve\n\tcafé " * 40):
+        compact = re.sub(r"\s+", " ", (text or "").casefold()).strip()[: T.MOST_CHARS]
+        framed, sums = f"^{compact}$", {}
+        tokens = ["w:" + w for w in re.findall(r"[a-z0-9]+|[㐀-鿿]", compact)[: T.MOST_WORDS]]
+        tokens += [f"c{n}:{framed[i : i + n]}" for n in (2, 3, 4, 5) for i in range(len(framed) - n + 1)]
+        for t in tokens:
+            h = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            slot = int.from_bytes(h, "little") % 512
+            sums[slot] = sums.get(slot, 0) + (-1 if h[0] % 2 else 1)
+        norm = sum(v * v for v in sums.values()) ** 0.5 or 1.0
+        assert T.hashed_features(text) == pytest.approx({s: v / norm for s, v in sums.items()})
