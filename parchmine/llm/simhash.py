@@ -80,19 +80,22 @@ def components(work: Workspace, docs: DataFrame, hot_bucket: int = HOT_BUCKET, *
 
 
 def _links(work: Workspace, different: DataFrame, hot_bucket: int) -> DataFrame:
-    """Links (a, b) between fingerprints; enough of them for the components."""
+    """Links (a, b) between fingerprints; enough of them for the components.
+
+    All joins are merges: Spark takes a ball for as small as the one row that it is made of, and would broadcast it.
+    """
     high = F.shiftrightunsigned("fp", 32)
     low = F.col("fp").bitwiseAND(0xFFFFFFFF)
     segments = F.array(F.struct(F.lit(0).alias("seg"), high.alias("val")), F.struct(F.lit(1).alias("seg"), low.alias("val")))
     entries = different.select("fp", F.inline(segments))
     sizes = work.write(entries.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket))
-    cold = entries.join(sizes, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("fp_b"))
+    cold = entries.join(sizes.hint("merge"), ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("fp_b"))
     index = work.write(cold.union(sizes.select("seg", "val", F.lit(None).cast("long"))))
     ball = F.expr("concat(array(val), transform(filter(sequence(0, 31), i -> getbit(val, i) = 0), i -> val | shiftleft(1L, i)))")
     probes = entries.select("seg", F.explode(ball).alias("val"), "fp")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= 2
     met = work.write(
-        probes.join(index, ["seg", "val"])
+        probes.join(index.hint("merge"), ["seg", "val"])
         .where(F.col("fp_b").isNull() | (near & (F.col("fp") != F.col("fp_b"))))
         .select("fp", "fp_b")
     )
@@ -100,7 +103,7 @@ def _links(work: Workspace, different: DataFrame, hot_bucket: int) -> DataFrame:
     points = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     around = work.write(hot.select("fp", F.explode(points).alias("point")))
     centre = work.write(around.groupBy("point").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1").select("point", "m"))
-    by_midpoint = around.join(centre, "point").where("fp != m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    by_midpoint = around.join(centre.hint("merge"), "point").where("fp != m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
     return met.where("fp_b is not null").select(F.col("fp").alias("a"), F.col("fp_b").alias("b")).union(by_midpoint).distinct()
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as C
+from parchmine.llm.common import Workspace
 
 
 def documents(spark):
@@ -54,3 +55,20 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     got = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, one), (1, two), (None, three), (5, "")], key=str)
     assert C.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_near_duplicates_broadcast_only_what_they_ask_for(spark, monkeypatch):
+    """Whatever size Spark guesses: what grows with the documents isn't gathered by the driver."""
+    rows = [(i, f"alpha beta {i} gamma {i % 7} delta") for i in range(60)]
+    docs, write, plans, name = spark.createDataFrame(rows, "doc_id long, text string"), Workspace.write, [], "spark.sql.autoBroadcastJoinThreshold"
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    monkeypatch.setattr(Workspace, "write", lambda self, df: plans.append(joins(df)) or write(self, df))
+    before, counts = spark.conf.get(name), []
+    try:
+        for threshold in ("1g", "-1"):
+            spark.conf.set(name, threshold)
+            plans.clear()
+            counts.append([joins(C.near_duplicates(spark, docs, "")), *plans])
+    finally:
+        spark.conf.set(name, before)
+    assert counts[0] == counts[1]
