@@ -17,8 +17,8 @@ def connected_components(work: Workspace, edges: DataFrame, run: int = RUN, max_
 
     Null ends and loops are left out. A task's union-find holds at most about `run` edges and leaves a forest; if one
     task took all of them, that is the answer. Else star steps join the forests. Rows of one star are never gathered
-    in one task: minima are partial aggregates, and the joins that follow read written tables on both sides, so that
-    skewed keys can be split.
+    in one task: minima are partial aggregates, and the joins that follow merge written tables, so that skewed keys
+    can be split and no table is broadcast.
     """
     now = work.write(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     runs = -(-now.count() // run)
@@ -29,11 +29,11 @@ def connected_components(work: Workspace, edges: DataFrame, run: int = RUN, max_
     for _ in range(max_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = work.write(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        large = work.write(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         work.drop(least)
         least = work.write(large.groupBy("hi").agg(F.min("lo").alias("m")))
         after = work.write(
-            large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least).distinct()
+            large.join(least.hint("merge"), "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least).distinct()
         )
         for used in (least, large, now):
             work.drop(used)

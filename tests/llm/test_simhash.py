@@ -5,6 +5,8 @@ import pytest
 import xxhash
 
 from parchmine.llm import simhash as S
+from parchmine.llm.common import Workspace
+from parchmine.llm.components import connected_components
 
 
 def brute_fingerprint(text):
@@ -77,3 +79,21 @@ def test_rows_without_ids_link_others(spark, monkeypatch, hot):
     docs = spark.createDataFrame([(3, "15"), (None, "3"), (1, "0"), (None, "4096"), (None, "1048575"), (9, "-1")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.fp, r.component_id) for r in S.simhash_components(docs, hot).collect()), key=lambda r: r[1])
     assert got == [(9, -1, 9), (1, 0, 1), (None, 3, 1), (3, 15, 1), (None, 4096, 1), (None, 1048575, None)]
+
+
+def test_links_and_star_steps_broadcast_nothing(spark, monkeypatch):
+    """Whatever size Spark guesses: neither fingerprints nor nodes are gathered by the driver."""
+    write, plans, name = Workspace.write, [], "spark.sql.autoBroadcastJoinThreshold"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Workspace, "write", lambda self, df: plans.append(plan(df)) or write(self, df))
+    prints, before = spark.createDataFrame([(x,) for x in (0, 1, 3, 7, 15, 31, 1 << 40, 5 << 40)], "fp long"), spark.conf.get(name)
+    spark.conf.set(name, "1g")
+    try:
+        work = Workspace(spark, "plans")
+        links = work.write(S._links(work, work.write(prints), 2))
+        parts = connected_components(work, links, 3)
+        assert "Broadcast" not in "".join([*plans, plan(parts)])
+        assert sum("SortMergeJoin" in p for p in plans) >= 4
+        assert {r.node: r.component for r in parts.collect()} == dict.fromkeys([0, 1, 3, 7, 15, 31, 1 << 40, 5 << 40], 0)
+    finally:
+        spark.conf.set(name, before)
