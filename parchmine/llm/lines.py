@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import sqrt
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,10 @@ from .components import connected_components
 SHINGLE, ROWS, BANDS, THRESHOLD = 9, 3, 9, 0.8
 #: Lines of a bucket that one group of the second round compares with as many others, and lines that it takes at once.
 BLOCK, CHUNK = 1000, 4000
-#: Lines of a bucket up to which pairs are compared one by one; in larger ones all are held against the first, and the rest by posting lists.
-FEW = 24
+#: Larger buckets have all lines held against the first before the rest is compared; larger groups are compared by posting lists.
+FEW, PAIRED = 24, 128
+#: Shingles that are looked up at once.
+LOOKUPS = 1 << 18
 SPACES = " \t\n\v\f\r"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -92,33 +94,58 @@ class HashedLines:
         self.lines = lines
         self.hashes, lengths, self.exact = shingle_hashes(lines, True) if lines else (np.empty(0, np.uint64), np.empty(0, np.int64), True)
         self.stop = np.cumsum(lengths)
+        self.lengths = lengths
         self.start = (self.stop - lengths).tolist()
         self.stop = (self.stop - SHINGLE + 1).tolist()
-        taken = np.flatnonzero(self.hashes < np.uint64(1 << 62))
-        ends = np.searchsorted(taken, np.cumsum(lengths)).tolist()
-        values = self.hashes[taken].tolist()
-        self.quarter = [set(values[a:b]) for a, b in zip([0, *ends], ends)]
         self.whole: dict[int, set[int]] = {}
 
+    @cached_property
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """Each line's different hashes, sorted, as line << shift plus the hash without its last bits, or, where that
+        makes two of them equal, plus its number; where each line's begin; and shift."""
+        n, there = len(self.lines), np.ones(len(self.hashes), bool)
+        there[(np.cumsum(self.lengths)[:, None] - np.arange(1, SHINGLE)).ravel()] = False
+        value, bits = self.hashes[there], np.uint64((n + 1).bit_length())
+        kinds = np.sort(value)
+        kinds = kinds[np.append(True, kinds[1:] != kinds[:-1])]
+        if (kinds[1:] >> bits == kinds[:-1] >> bits).any():
+            value = np.searchsorted(kinds, value).astype(np.uint64)
+        else:
+            value >>= bits
+        shift = np.uint64(64) - bits
+        keys = np.sort((np.repeat(np.arange(n, dtype=np.uint64), self.lengths - SHINGLE + 1) << shift) + value)
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]
+        return keys, np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << shift), shift
+
+    def similar_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """similar() of pairs of lines: the shingles of the shorter line are looked up in the other, a bounded number at a time."""
+        keys, first, shift = self.keys
+        size = np.diff(first)
+        x, y = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+        fit, both = size[x] >= THRESHOLD * size[y], np.zeros(len(a), np.int64)
+        todo = np.flatnonzero(fit)
+        ends, at = np.cumsum(size[x[todo]]), 0
+        while at < len(todo):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKUPS, "right")))
+            pairs = todo[at:to]
+            n = size[x[pairs]]
+            owner = np.repeat(np.arange(len(pairs)), n)
+            place = np.arange(len(owner)) + (first[x[pairs]] - (np.cumsum(n) - n))[owner]
+            want = keys[place] + ((y[pairs] - x[pairs]).astype(np.uint64) << shift)[owner]
+            found = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+            both[pairs] = np.bincount(owner[found], minlength=len(pairs))
+            at = to
+        out = fit & (both >= THRESHOLD * (size[x] + size[y] - both))
+        if not self.exact:
+            for i in np.flatnonzero(out).tolist():
+                out[i] = similar(self.lines[a[i]], self.lines[b[i]])
+        return out
+
     def all(self, i: int) -> set[int]:
         if (got := self.whole.get(i)) is None:
             got = self.whole[i] = set(self.hashes[self.start[i] : self.stop[i]].tolist())
         return got
 
-    def similar(self, i: int, j: int) -> bool:
-        """similar() of two lines. A quarter of all hashes is held against each other first: pairs whose share is 5.5
-        standard deviations below the threshold are passed over, about one in a million of those at the threshold."""
-        x, y = self.quarter[i], self.quarter[j]
-        both = len(x & y)
-        union = len(x) + len(y) - both
-        if both < THRESHOLD * union - 5.5 * sqrt(THRESHOLD * (1 - THRESHOLD) * union):
-            return False
-        x, y = self.all(i), self.all(j)
-        if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
-            return False
-        both = len(x & y)
-        return both >= THRESHOLD * (len(x) + len(y) - both) and (self.exact or similar(self.lines[i], self.lines[j]))
-
 
 class Labels:
     """Union-find over labels, and the pairs that were found not to be similar."""
@@ -149,7 +176,7 @@ def similar(a: str, b: str) -> bool:
 def similar_across(lines: HashedLines, members: list[int], part: list[int], block: list[int], own: bool, labels: Labels) -> list[tuple[int, int]]:
     """Pairs of similar lines (places in members) that join all parts which similar pairs of different parts join.
 
-    With own, pairs lie in one block, else in two; labels carries what is known of these lines from group to group. Few lines are compared one by one; of many, each outside the
+    With own, pairs lie in one block, else in two; labels carries what is known of these lines from group to group. Each line outside the
     largest part is held against all others at once, by counting the lines that have each of its shingles.
     """
     n, out = len(members), []
@@ -161,18 +188,12 @@ def similar_across(lines: HashedLines, members: list[int], part: list[int], bloc
         pair = (members[i], members[j]) if members[i] < members[j] else (members[j], members[i])
         if pair in labels.unlike:
             return
-        if lines.similar(*pair):
+        if lines.exact or similar(lines.lines[pair[0]], lines.lines[pair[1]]):
             out.append((i, j))
             labels.up[y] = x
         else:
             labels.unlike.add(pair)
 
-    if n <= FEW:
-        for i in range(n):
-            for j in range(i + 1, n):
-                if (block[i] == block[j]) == own:
-                    link(i, j)
-        return out
     sets = [np.unique(lines.hashes[lines.start[m] : lines.stop[m]]) for m in members]
     size = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -188,6 +209,38 @@ def similar_across(lines: HashedLines, members: list[int], part: list[int], bloc
     return out
 
 
+def similar_in_pairs(lines: HashedLines, member: np.ndarray, part: list[int], block: np.ndarray, group: np.ndarray, own: np.ndarray, labels: Labels) -> list[tuple[int, int]]:
+    """similar_across() of all groups of PAIRED lines or fewer at once; pairs of lines, and part by line.
+
+    Rows come sorted by group. The first line of each group is held against its others, then all whose parts are still
+    different.
+    """
+    start = np.searchsorted(group, group)
+    few, ones, others, n = np.bincount(group)[group] <= PAIRED, [], [], len(part)
+    for d in range(1, PAIRED):
+        together = few[d:] & (group[d:] == group[:-d])
+        if not together.any():
+            break
+        ones.append(np.flatnonzero(together & ((block[d:] == block[:-d]) == own[d:])))
+        others.append(ones[-1] + d)
+    if not ones:
+        return []
+    i, j = np.concatenate(ones), np.concatenate(others)
+    code, star, done, out = np.minimum(member[i], member[j]) * n + np.maximum(member[i], member[j]), i == start[i], np.empty(0, np.int64), []
+    for some in (star, ~star):
+        root = np.array([labels.find(p) for p in part], np.int64)
+        pairs = np.unique(code[some])
+        pairs = pairs[root[pairs // n] != root[pairs % n]]
+        done = pairs = pairs[~np.isin(pairs, done)]
+        for pair in pairs[lines.similar_pairs(pairs // n, pairs % n)].tolist():
+            a, b = divmod(pair, n)
+            x, y = labels.find(part[a]), labels.find(part[b])
+            if x != y:
+                out.append((a, b))
+                labels.up[y] = x
+    return out
+
+
 def _bands(batches):
     """Band keys and line hashes of a task's texts; a line that the task has met lately is left out."""
     seen: set[int] = set()
@@ -227,7 +280,7 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
         number: dict[str, int] = {}
         pairs = [(number.setdefault(x, len(number)), number.setdefault(y, len(number))) for x, y in zip(a.iloc[at : at + 250], b.iloc[at : at + 250])]
         lines = HashedLines(list(number))
-        out += [lines.similar(i, j) for i, j in pairs]
+        out += lines.similar_pairs(*np.array(pairs).T).tolist()
     return pd.Series(out, dtype="bool")
 
 
@@ -347,13 +400,18 @@ def _compare(batches):
     def links(df: pd.DataFrame) -> pd.DataFrame:
         key, x, y = (df[c].to_numpy() for c in ("key", "x", "y"))
         part, block, ids = (df[c].tolist() for c in ("part", "block", "node"))
-        text = dict(zip(ids, df["line"]))
-        number = {node: i for i, node in enumerate(text)}
+        text, parts = dict(zip(ids, df["line"])), dict(zip(ids, part))
+        node = list(text)
+        number = {m: i for i, m in enumerate(node)}
         lines, labels = HashedLines(list(text.values())), Labels()
         new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-        out = []
-        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(df)]):
-            out += [(ids[a + i], ids[a + j]) for i, j in similar_across(lines, [number[m] for m in ids[a:b]], part[a:b], block[a:b], x[a] == y[a], labels)]
+        bounds = np.concatenate(([0], new, [len(df)]))
+        member, group = np.array([number[m] for m in ids]), np.repeat(np.arange(len(new) + 1), np.diff(bounds))
+        few = similar_in_pairs(lines, member, [parts[m] for m in node], df["block"].to_numpy(), group, x == y, labels)
+        out = [(node[a], node[b]) for a, b in few]
+        many = np.flatnonzero(np.diff(bounds) > PAIRED)
+        for a, b in zip(bounds[many].tolist(), bounds[many + 1].tolist()):
+            out += [(ids[a + i], ids[a + j]) for i, j in similar_across(lines, member[a:b].tolist(), part[a:b], block[a:b], x[a] == y[a], labels)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     held = None

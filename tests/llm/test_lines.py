@@ -136,3 +136,35 @@ def test_exact_hashes_tell_shingles_apart():
         assert hashed.exact == (len(set("".join(lines))) < 128)
         assert all(len(hashed.all(i)) == len(L.shingles(x)) for i, x in enumerate(lines))
         assert all(len(hashed.all(i) & hashed.all(j)) == len(L.shingles(lines[i]) & L.shingles(lines[j])) for i in range(50) for j in range(i))
+
+
+@pytest.mark.parametrize("lookups", [1, 1 << 18])
+def test_pairs_at_once_match_pairs(monkeypatch, lookups):
+    monkeypatch.setattr(L, "LOOKUPS", lookups)
+    monkeypatch.setattr(L, "PAIRED", 30)
+    rng = random.Random(lookups)
+    for letters in ("abcdefgh ", "".join(map(chr, range(300, 500)))):
+        base = ["".join(rng.choice(letters) for _ in range(size)) for size in (9, 40, 80, 300)]
+        lines = [b[: rng.randrange(9, len(b) + 1)] if rng.random() < 0.3 else b[:-1] + rng.choice("xyz") for b in rng.choices(base, k=60)]
+        hashed = L.HashedLines(lines)
+        pairs = [(i, j) for i in range(60) for j in range(60)]
+        assert hashed.similar_pairs(*L.np.array(pairs).T).tolist() == [L.similar(lines[i], lines[j]) for i, j in pairs]
+        member, group = L.np.array(rng.sample(range(60), 55)), L.np.repeat([0, 1, 2, 3], [2, 18, 4, 31])
+        block, own = L.np.array(rng.choices((0, 1), k=55)), L.np.isin(group, (1, 2))
+        got = L.similar_in_pairs(hashed, member, list(range(60)), block, group, own, L.Labels())
+
+        def joined(links):
+            label = list(range(60))
+            for i, j in links:
+                label = [label[i] if x == label[j] else x for x in label]
+            return [label.index(x) for x in label]
+
+        near = lambda i, j: group[i] == group[j] < 3 and (block[i] == block[j]) == own[i] and L.similar(lines[member[i]], lines[member[j]])
+        assert joined(got) == joined([(member[i], member[j]) for i in range(55) for j in range(i) if near(i, j)])
+        assert len(got) > 5
+
+
+def test_hashes_that_agree_but_for_their_last_bits():
+    hashed = L.HashedLines(["abcdefghi", "bcdefghij", "abcdefghi"])
+    hashed.hashes[[0, 9, 18]] = [8, 9, 8]
+    assert hashed.similar_pairs(L.np.array([0, 0, 1]), L.np.array([1, 2, 2])).tolist() == [False, True, False]
