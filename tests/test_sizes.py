@@ -3,10 +3,14 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 import __spark_entry__ as entry
 from parchmine import queries
+from parchmine.functions import text as T
 from parchmine.sources import tables
 
 D = "/root/testdata/sf0.1"
@@ -39,3 +43,34 @@ def test_selections_of_any_ids(spark, tmp_path, name):
     labels = spark.sql("SELECT nullif(id * 5 - 1500, 0) AS doc_id, 1 AS quality, id % 2 AS toxic FROM range(1200) UNION ALL SELECT 11, 1, 0 UNION ALL SELECT 11, 0, 1")
     got, want = answers(spark, tmp_path, name, documents=documents.repartition(7), labels=labels)
     assert got == want and len(got) > 10
+
+
+@pytest.mark.parametrize("size", [(1000, 10), (10000, 10), (40, 300_000)])
+def test_a_worker_holds_few_results_of_a_batch(size):
+    rows, length = size
+    held = []
+
+    class Map(dict):
+        def items(self):
+            held.append(len(self))
+            return super().items()
+
+    batch = pa.array([f"{i:0{length}d}" for i in range(rows)])
+    parts = T.sliced(lambda x: Map({int(x): 1.0}), MapType(IntegerType(), DoubleType()), iter([(batch,)]))
+    first = next(parts)
+    assert len(held) == len(first) <= min(256, max(1, (1 << 20) // length))
+    assert [k for p in (first, *parts) for row in p.to_pylist() for k, _ in row] == list(range(rows))
+
+
+def test_columns_of_nested_kinds(spark):
+    pair = StructType([StructField("a", StringType()), StructField("b", IntegerType())])
+    maps = T.column(lambda x: x and {len(x): 0.5}, MapType(IntegerType(), DoubleType()))
+    tuples = T.column(lambda x: x and [(x, 1), (None, 2)], ArrayType(pair))
+    fields = T.column(lambda x: {"a": x, "b": 3}, pair)
+    both = T.column(lambda x, y: f"{x}{y}", StringType())
+    df = spark.range(0, 1000, 1, 3).selectExpr("IF(id % 7 = 0, NULL, CAST(id AS string)) AS x", "array(id) AS y").repartition(5)
+    got = df.select("x", "y", maps("x"), tuples("x"), fields("x"), both(both("x", "y"), "x")).collect()
+    assert len(got) == 1000
+    for x, y, m, t, f, b in got:
+        assert m == (x and {len(x): 0.5}) and t == (x and [(x, 1), (None, 2)]) and f == (x, 3) and b == f"{x}{y}{x}"
+    assert spark.range(0).select(maps(F.col("id").cast("string"))).collect() == []
