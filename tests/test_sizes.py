@@ -78,7 +78,7 @@ def test_columns_of_nested_kinds(spark):
     assert spark.range(0).select(maps(F.col("id").cast("string"))).collect() == []
 
 
-@pytest.mark.parametrize("name", ["navigation_audit"])
+@pytest.mark.parametrize("name", ["navigation_audit", "navigation_links"])
 def test_query_holds_no_whole_batch(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     kinds = re.findall(r"ArrowEvalPython .*, (\d+)\n", plan)
