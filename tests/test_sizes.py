@@ -1,7 +1,10 @@
 """What grows with the tables stays bounded, and results stay the same."""
 
+import difflib
 import os
+import random
 import re
+import timeit
 
 import duckdb
 import pyarrow as pa
@@ -83,3 +86,21 @@ def test_query_holds_no_whole_batch(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     kinds = re.findall(r"ArrowEvalPython .*, (\d+)\n", plan)
     assert kinds and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
+
+
+def test_similarity_is_difflibs():
+    rng = random.Random(5)
+    for letters in ("a", "ab", "abc目", "abcdefgh 😀"):
+        for _ in range(400):
+            a, b = ("".join(rng.choices(letters, k=rng.randrange(40))) for _ in "ab")
+            assert T.similarity(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_similarity_of_long_titles_takes_little_time():
+    rng = random.Random(6)
+    a, b = (" ".join("".join(rng.choices("etaoinshr", k=6)) for _ in range(250)) for _ in "ab")
+
+    def least(f):
+        return min(timeit.repeat(f, number=1, repeat=3))
+
+    assert least(lambda: T.similarity(a, b)) < 0.5 * least(lambda: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
