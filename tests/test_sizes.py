@@ -10,12 +10,13 @@ import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 from pyspark.util import PythonEvalType
 
 import __spark_entry__ as entry
 from parchmine import queries
 from parchmine.functions import text as T
+from parchmine.operators import search
 from parchmine.sources import tables
 
 D = "/root/testdata/sf0.1"
@@ -104,3 +105,30 @@ def test_similarity_of_long_titles_takes_little_time():
         return min(timeit.repeat(f, number=1, repeat=3))
 
     assert least(lambda: T.similarity(a, b)) < 0.5 * least(lambda: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
+
+
+def test_term_search_of_odd_documents(spark, tmp_path):
+    """Repeated and null doc_ids, ties, words that come often, texts without the terms; and a document over many rows."""
+    text = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN '' ELSE repeat('The  Cat\n', CAST(id % 9 AS int)) || 'dog' || id % 5 || ' ÉTÉ ' || IF(id % 4 = 0, 'on', 'off') END"
+    documents = spark.sql(f"SELECT CASE WHEN id % 50 = 1 THEN NULL WHEN id % 3 = 0 THEN 5 ELSE id % 700 END AS doc_id, {text} AS text, 'src' AS source, 'en' AS lang, 1 AS n_chars FROM range(3000)")
+    benchmark = spark.sql("SELECT id AS item_id, element_at(array('the cat the', 'dog1 on', 'dog2  été', 'nothing here', '', NULL, 'off on\ncat', 'off'), CAST(id % 8 + 1 AS int)) AS text FROM range(9)")
+    got, want = answers(spark, tmp_path, "benchmark_term_search", documents=documents.repartition(5), benchmark=benchmark)
+    assert got == want and len(got) > 30
+
+
+@needs_tables
+def test_term_search_shuffles_no_words(spark):
+    plan = entry.queries()["benchmark_term_search"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((.*?), \d+\)", plan) and not re.search(r"hashpartitioning\([^)]*(word|item_id#\d+L?, doc_id)", plan)
+
+
+def test_term_search_scores_in_parts(monkeypatch):
+    """Many rows of one document, and more documents than are scored at once."""
+    monkeypatch.setattr(search, "MOST_ROWS", 3)
+    monkeypatch.setattr(search, "MOST_SCORES", 10)
+    terms = search.Terms([(1, b"a"), (2, b"a"), (2, b"b")], LongType())
+    rows = [(None, [0], [9])] + [(i // 9, [0, 1] if i % 9 else [1], [i // 9 % 4, 1] if i % 9 else [2]) for i in range(900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 70]), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], ["doc_id", "terms", "counts"]) for i in range(0, len(rows), 70)]
+    got = sorted(tuple(r.values()) for b in search.best(terms, 8)(iter(batches)) for r in b.to_pylist())
+    fives = [i for i in range(100) if i % 4]
+    assert got == [(1, i, 5) for i in fives[:8]] + [(2, i, 10) for i in fives[:8]]
